@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,14 +23,20 @@ _FOLD_FROM, _FOLD_TO = _fold_table()
 _ELLIPSIS = r"(\.\.\.|…|\[\.{3}\]|\[…\])\s*$"
 
 
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
 def fold_ascii(text: Column) -> Column:
-    """Lower case without accents; wide letters become plain ones, combining marks go."""
-    return F.regexp_replace(F.translate(F.lower(text), _FOLD_FROM, _FOLD_TO), r"\p{M}+", "")
+    """Lower case without accents; wide letters become plain ones, combining marks go. Plain texts take the short way."""
+    folded = F.regexp_replace(F.translate(F.lower(text), _FOLD_FROM, _FOLD_TO), r"\p{M}+", "")
+    return F.when(is_ascii(text), F.lower(text)).otherwise(folded)
 
 
 def ends_in_ellipsis(text: Column) -> Column:
     """True where a text is cut with an ellipsis."""
-    return F.coalesce(text.rlike(_ELLIPSIS), F.lit(False))
+    end = F.right(F.rtrim(text), F.lit(5))
+    return F.coalesce((end.contains("...") | end.contains("…")) & end.rlike(_ELLIPSIS), F.lit(False))
 
 
 def strip_markup(text: Column) -> Column:
@@ -38,28 +44,30 @@ def strip_markup(text: Column) -> Column:
     plain = F.regexp_replace(text, r"</?[A-Za-z][^<>]{0,80}>", " ")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return plain
+    return F.when(text.contains("<") | text.contains("&"), plain).otherwise(text)
+
 
+def with_title_key(df: DataFrame, title: str, into: str) -> DataFrame:
+    """``df`` with the key of a title: letters and digits of a full title in one case; null for cut or empty titles.
 
-def title_key(title: Column) -> Column:
-    """Letters and digits of a full title in one case; null for cut, empty or missing titles."""
-    plain = strip_markup(title)
-    key = F.regexp_replace(fold_ascii(plain), r"[^\p{L}\p{N}]+", "")
-    return F.when(~ends_in_ellipsis(F.trim(plain)) & (key != ""), key)
+    Step by step in columns of their own, so that no step is computed twice.
+    """
+    found = df.withColumn("_plain", strip_markup(F.col(title)))
+    found = found.withColumn("_key", F.regexp_replace(fold_ascii(F.col("_plain")), r"[^\p{L}\p{N}]+", ""))
+    key = F.when((F.col("_key") != "") & ~ends_in_ellipsis(F.col("_plain")), F.col("_key"))
+    return found.withColumn(into, key).drop("_plain", "_key")
 
 
 def doi_key(doi: Column) -> Column:
     """Bare lower-case DOI without prefix word, address or trailing mark; null where there is no usable one."""
     decoded = F.replace(F.replace(F.lower(doi), F.lit("%2f"), F.lit("/")), F.lit("%3a"), F.lit(":"))
-    bare = F.regexp_extract(decoded, r"(10\.\d{4,9}/[^\s\"<>]+)", 1)
-    bare = F.regexp_replace(bare, r"[.,;:)\]}]+$", "")
-    return F.when(bare.rlike(r"^10\.\d{4,9}/.*[a-z0-9]"), bare)
+    bare = F.regexp_extract(decoded, r"(10\.\d{4,9}/[^\s\"<>]*[^\s\"<>.,;:)\]}/])[.,;:)\]}/]*(?:$|[\s\"<>])", 1)
+    return F.nullif(bare, F.lit(""))
 
 
 def arxiv_key(arxiv_id: Column) -> Column:
     """Bare arXiv number without version; null for placeholders."""
-    bare = F.regexp_extract(arxiv_id, r"(?<!\d)(\d{4}\.\d{4,5})(?:v\d+)?(?!\d)", 1)
-    return F.when((bare != "") & ~bare.rlike(r"^0+\.0+$"), bare)
+    return F.nullif(F.regexp_extract(arxiv_id, r"(?<!\d)(?!0+\.0+(?:v|$|\D))(\d{4}\.\d{4,5})(?:v\d+)?(?!\d)", 1), F.lit(""))
 
 
 def doc_key(title: Column, source_id: Column) -> Column:
