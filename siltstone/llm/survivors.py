@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.functions.keys import arxiv_key, doi_key, ends_in_ellipsis, strip_markup, title_key
+from siltstone.functions.keys import arxiv_key, doi_key, ends_in_ellipsis, strip_markup, with_title_key
 from siltstone.operators.components import connected_components
+from siltstone.session import materialize
 from siltstone.sources import table
 
 PREPRINT_PREFIX = "10.98550/"
@@ -31,20 +32,22 @@ def publication_keys(papers: DataFrame) -> DataFrame:
     A preprint DOI carries its arXiv number, which counts as an arXiv key. A row without any usable key gets the key
     of its own id, so that it stays a group of one.
     """
-    doi = doi_key(F.col("doi"))
-    from_doi = F.when(doi.startswith(PREPRINT_PREFIX), arxiv_key(F.regexp_extract(doi, r"arxiv\.(.+)$", 1)))
-    keyed = papers.withColumns({"title_k": title_key(F.col("title")), "doi_k": doi, "arxiv_k": arxiv_key(F.col("arxiv_id")), "_a2": from_doi})
+    keyed = with_title_key(papers, "title", "title_k")
+    keyed = keyed.withColumns({"doi_k": doi_key(F.col("doi")), "arxiv_k": arxiv_key(F.col("arxiv_id"))})
+    from_doi = F.when(F.col("doi_k").startswith(PREPRINT_PREFIX), arxiv_key(F.col("doi_k")))
+    short = F.concat(F.lit("t:"), F.xxhash64("title_k").cast("string"), F.lit(":"), F.hash("title_k").cast("string"))
     parts = F.array_distinct(
         F.array_compact(
             F.array(
                 F.concat(F.lit("d:"), F.col("doi_k")),
                 F.concat(F.lit("a:"), F.col("arxiv_k")),
-                F.concat(F.lit("a:"), F.col("_a2")),
-                F.concat(F.lit("t:"), F.xxhash64("title_k").cast("string"), F.lit(":"), F.hash("title_k").cast("string"), F.when(F.col("title_k").isNotNull(), "")),
+                F.concat(F.lit("a:"), from_doi),
+                F.when(F.col("title_k").isNotNull(), short),
             )
         )
     )
-    return keyed.withColumn("keys", F.when(F.size(parts) > 0, parts).otherwise(F.array(F.concat(F.lit("r:"), F.col("id"))))).drop("_a2")
+    keyed = keyed.withColumn("keys", parts)
+    return keyed.withColumn("keys", F.when(F.size("keys") > 0, F.col("keys")).otherwise(F.array(F.concat(F.lit("r:"), F.col("id")))))
 
 
 def assign_groups(keyed: DataFrame) -> DataFrame:
@@ -60,14 +63,27 @@ def assign_groups(keyed: DataFrame) -> DataFrame:
     return found.withColumn("component", F.coalesce("component", "_k")).drop("_k", "node")
 
 
-def abstract_core(abstract: Column, title_k: Column) -> Column:
-    """The abstract's own text: no tags, label, copyright or keyword tail, no ellipsis; null where there is none."""
-    core = F.trim(F.regexp_replace(strip_markup(abstract), r"\s+", " "))
-    for _ in range(2):
-        core = F.regexp_replace(F.regexp_replace(core, _LEAD, ""), _TAIL, "")
-    core = F.trim(F.regexp_replace(core, _CUT, ""))
-    real = (core != "") & ~core.rlike(_NO_ABSTRACT) & ~F.trim(abstract).rlike(_NO_ABSTRACT)
-    return F.when(real & ~F.coalesce(title_key(core) == title_k, F.lit(False)), core)
+def publication_groups(papers: DataFrame) -> DataFrame:
+    """``id`` and ``component`` of every row; columns id, title, doi, arxiv_id are read."""
+    keyed = publication_keys(papers.where(F.col("id").isNotNull()).select("id", "title", "doi", "arxiv_id")).select("id", "keys")
+    return assign_groups(materialize(keyed, "keyed")).select("id", "component")
+
+
+def with_abstract_core(df: DataFrame) -> DataFrame:
+    """``df`` with ``core``, the abstract's own text: no tags, label, copyright or keyword tail, no ellipsis; null where
+    there is none (missing, a placeholder, or the title over again). Each cleaning step runs only where its mark occurs."""
+    found = df.withColumn("core", F.trim(strip_markup(F.col("abstract"))))
+    odd = F.col("core").contains("  ") | F.col("core").contains("\n") | F.col("core").contains("\t")
+    found = found.withColumn("core", F.when(odd, F.regexp_replace("core", r"\s+", " ")).otherwise(F.col("core")))
+    low = F.lower("core")
+    marks = low.contains("copyright") | low.contains("©") | low.contains("(c)") | low.contains("key") | low.contains("index terms") | low.contains("all rights")
+    found = found.withColumn("core", F.regexp_replace("core", _LEAD, ""))
+    found = found.withColumn("core", F.when(marks, F.regexp_replace(F.regexp_replace("core", _TAIL, ""), _TAIL, "")).otherwise(F.col("core")))
+    found = found.withColumn("core", F.when(ends_in_ellipsis(F.col("core")), F.trim(F.regexp_replace("core", _CUT, ""))).otherwise(F.col("core")))
+    short = F.length("core") <= 2 * F.length("title") + 20
+    found = with_title_key(found.withColumn("_short", F.when(short, F.col("core"))), "_short", "_short_k").drop("_short")
+    none = (F.col("core") == "") | F.col("core").rlike(_NO_ABSTRACT) | F.coalesce(F.col("_short_k") == F.col("title_k"), F.lit(False))
+    return found.withColumn("core", F.when(~none, F.col("core"))).drop("_short_k")
 
 
 def best_values(papers: DataFrame) -> DataFrame:
@@ -79,14 +95,12 @@ def best_values(papers: DataFrame) -> DataFrame:
     an empty table gives no rows. Long abstracts are read whole.
     """
     rows = papers.where(F.col("id").isNotNull()).select("id", "title", "doi", "arxiv_id", F.col("citation_count").cast("long").alias("citations"), "abstract", "created_at")
-    keyed = publication_keys(rows)
-    core = abstract_core(F.col("abstract"), F.col("title_k"))
-    keyed = keyed.withColumn("_core", core).select(
+    keyed = with_abstract_core(publication_keys(rows)).select(
         "id", "keys", "doi_k", "arxiv_k", "citations", "created_at",
-        F.length("_core").alias("core_len"),
-        ((F.col("abstract") == F.col("_core")) & ~ends_in_ellipsis(F.col("abstract"))).cast("int").alias("whole"),
+        F.length("core").alias("core_len"),
+        ((F.col("abstract") == F.col("core")) & ~ends_in_ellipsis(F.col("abstract"))).cast("int").alias("whole"),
     )
-    grouped = assign_groups(keyed)
+    grouped = assign_groups(materialize(keyed, "keyed"))
     sizes = grouped.groupBy("component").agg(F.min("id").alias("group_key"), F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
     seen = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(2**62)))
     published = (~F.col("doi_k").startswith(PREPRINT_PREFIX)).cast("long")
@@ -115,6 +129,6 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership: every row with its group and the group's size."""
-    grouped = assign_groups(publication_keys(table(spark, sf_dir, "retrieved_papers").select("id", "title", "doi", "arxiv_id")))
+    grouped = publication_groups(table(spark, sf_dir, "retrieved_papers").select("id", "title", "doi", "arxiv_id"))
     sizes = grouped.groupBy("component").agg(F.min("id").alias("group_key"), F.count(F.lit(1)).alias("n_rows"))
     return grouped.select("id", "component").join(sizes, "component").select("id", "group_key", "n_rows")
