@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from siltstone.llm import survivors
+from siltstone.llm import linkage, survivors
 
 
 def queries() -> dict:
     return {
         "p1_found": survivors.p1_found,
         "p1_groups": survivors.p1_groups,
+        "p2_found": linkage.p2_found,
+        "p2_confidence": linkage.p2_confidence,
     }
 
 
