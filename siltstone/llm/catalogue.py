@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import linkage, survivors
+from siltstone.llm import consensus, linkage, mixing, packing, pairs, splitting, survivors
 
 
 def queries() -> dict:
@@ -11,6 +11,19 @@ def queries() -> dict:
         "p1_groups": survivors.p1_groups,
         "p2_found": linkage.p2_found,
         "p2_confidence": linkage.p2_confidence,
+        "p3_found": splitting.p3_found,
+        "p3_pieces": splitting.p3_pieces,
+        "p4_found": consensus.p4_found,
+        "p4_consensus": consensus.p4_consensus,
+        "p4_annotators": consensus.p4_annotators,
+        "p4_agreement": consensus.p4_agreement,
+        "p5_found": pairs.p5_found,
+        "p6_containers": packing.p6_containers,
+        "p6_packing": packing.p6_packing,
+        "p6_report": packing.p6_report,
+        "p7_mix": mixing.p7_mix,
+        "p7_shares": mixing.p7_shares,
+        "p7_temperature": mixing.p7_temperature,
     }
 
 
