@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import consensus, linkage, mixing, packing, pairs, splitting, survivors
+from siltstone.llm import consensus, linkage, lookalikes, mixing, packing, pairs, splitting, survivors
 
 
 def queries() -> dict:
@@ -22,6 +22,8 @@ def queries() -> dict:
         "p6_packing": packing.p6_packing,
         "p6_report": packing.p6_report,
         "p7_mix": mixing.p7_mix,
+        "p8_found": lookalikes.p8_found,
+        "p8_canonical": lookalikes.p8_canonical,
         "p7_shares": mixing.p7_shares,
         "p7_temperature": mixing.p7_temperature,
     }
