@@ -63,10 +63,10 @@ def assign_groups(keyed: DataFrame) -> DataFrame:
     return found.withColumn("component", F.coalesce("component", "_k")).drop("_k", "node")
 
 
-def publication_groups(papers: DataFrame, *keep: str) -> DataFrame:
-    """``id``, ``component`` and the columns to keep of every row; id, title, doi and arxiv_id are read."""
-    keyed = publication_keys(papers.where(F.col("id").isNotNull()).select("id", "title", "doi", "arxiv_id", *[c for c in keep if c != "title"]))
-    return assign_groups(materialize(keyed.select("id", "keys", *keep), "keyed")).select("id", "component", *keep)
+def publication_groups(papers: DataFrame) -> DataFrame:
+    """``id`` and ``component`` of every row; id, title, doi and arxiv_id are read."""
+    keyed = publication_keys(papers.where(F.col("id").isNotNull()).select("id", "title", "doi", "arxiv_id"))
+    return assign_groups(materialize(keyed.select("id", "keys"), "keyed")).select("id", "component")
 
 
 def with_abstract_core(df: DataFrame) -> DataFrame:
