@@ -109,17 +109,17 @@ def mix(counted: DataFrame, targets: DataFrame, budget: float | None = None, see
     inside = Window.partitionBy("source", "block").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     docs = docs.withColumn("upto", F.sum("tokens").over(inside)).join(sums, ["source", "block"])
     docs = docs.withColumn("upto", F.col("upto") + F.col("before"))
-    passes = F.floor(F.col("quota") / F.col("size"))
+    passes = F.floor(F.try_divide(F.col("quota"), F.col("size")))
     rest = F.col("quota") - passes * F.col("size")
     uses = F.least(passes + F.when(F.col("upto") <= rest, 1).otherwise(0), F.col("max_repeats")).cast("int")
     used = docs.withColumn("uses", uses).where(F.col("uses") > 0)
     spread = used.select("doc_id", "source", "tokens", "size", "quota", "upto", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("epoch"))
-    position = F.least(F.lit(1.0), ((F.col("epoch") - 1) * F.col("size") + F.col("upto") - F.col("tokens")) / F.col("quota"))
+    position = F.least(F.lit(1.0), F.coalesce(F.try_divide((F.col("epoch") - 1) * F.col("size") + F.col("upto") - F.col("tokens"), F.col("quota")), F.lit(0.0)))
     spread = spread.select("doc_id", "source", "tokens", "epoch", position.alias("position"))
     per_source = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses"))
     report = plan.join(per_source, "source", "left").fillna(0, ["used_tokens", "documents", "most_uses"])
     everything = Window.partitionBy()
-    reached = F.col("used_tokens") / F.sum("used_tokens").over(everything)
+    reached = F.try_divide(F.col("used_tokens"), F.sum("used_tokens").over(everything))
     report = report.select(
         "source", "target_share", F.round("weight", 6).alias("weight"), F.round("quota").cast("long").alias("quota"), "used_tokens",
         F.round(F.coalesce(reached, F.lit(0.0)), 6).alias("reached_share"), "documents", "most_uses", "max_repeats",
