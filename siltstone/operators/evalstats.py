@@ -93,7 +93,7 @@ def mcnemar(df: DataFrame, a_right: Column, b_right: Column) -> DataFrame:
     """Discordant counts of two models and the exact two-sided p-value (binomial tail)."""
     import math
 
-    counts = df.agg(F.sum((a_right & ~b_right).cast("long")).alias("only_a"), F.sum((~a_right & b_right).cast("long")).alias("only_b"))
+    counts = df.agg(F.count_if(a_right & ~b_right).alias("only_a"), F.count_if(~a_right & b_right).alias("only_b"))
 
     def tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
