@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 STOP_WORDS = "a an and are as at be by for from has in is it its of on or that the to was were what which with how do does".split()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: inside a lambda an expression would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column) -> Column:
     """Lower-case ASCII words and numbers in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), 1)
@@ -86,10 +93,13 @@ def short_hash(prefix: str, text: Column, length: int = 10) -> Column:
 
 def word_chunks(text: Column, size: int = 300) -> Column:
     """Array of chunks (chunk_id, text) of ``size`` words each, without overlap."""
-    parts = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    last = F.floor((F.size(parts) - 1) / size).cast("int")
-    ids = F.when(F.size(parts) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(ids, lambda i: F.struct(i.alias("chunk_id"), F.array_join(F.slice(parts, i * size + 1, size), " ").alias("text")))
+
+    def cut(parts: Column) -> Column:
+        last = F.floor((F.size(parts) - 1) / size).cast("int")
+        ids = F.when(F.size(parts) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(ids, lambda i: F.struct(i.alias("chunk_id"), F.array_join(F.slice(parts, i * size + 1, size), " ").alias("text")))
+
+    return let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), cut)
 
 
 def char_windows(text: Column, size: int = 700, step: int = 350) -> Column:
@@ -107,10 +117,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Softmax of an array of numbers."""
-    top = F.array_max(logits)
-    parts = F.transform(logits, lambda x: F.exp(x - top))
+    parts = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
     total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(parts, lambda x: x / total)
+    return let(total, lambda t: F.transform(parts, lambda x: x / t))
 
 
 def strip_nul(text: Column) -> Column:

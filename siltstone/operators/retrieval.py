@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import words
+from siltstone.functions.text import let, words
 
 K1, B = 1.5, 0.75
 
@@ -26,18 +26,35 @@ def bm25(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, q
 
 
 def containing(pieces: DataFrame, piece: str, needle: str, texts: DataFrame, key: str, text: str, scope: list[str]) -> DataFrame:
-    """Pairs (piece, key) of one scope whose text contains the needle. The pieces of a scope meet its texts by an equi
-    join on the scope and the rarest possible evidence, the needle's first words, before the exact test."""
-    first = F.array_join(F.slice(F.split(F.col(needle), " "), 1, 3), " ")
-    left = pieces.select(*scope, piece, needle, first.alias("_k")).where(F.length(needle) > 0)
-    tokens = F.split(F.col(text), " ")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, 3), " ")))
-    right = texts.select(*scope, key, text, F.explode(grams).alias("_k"))
-    return left.join(right, [*scope, "_k"]).where(F.col(text).contains(F.col(needle))).select(*scope, piece, key).distinct()
+    """Pairs (piece, key) of one scope whose text contains the needle.
+
+    Needles of five words or more meet the texts by their second to fourth word, which stand in a text as whole words
+    wherever the needle does; only hashed keys are shuffled for that, and the texts of the pairs found are read after.
+    Shorter needles meet all texts of their scope.
+    """
+    words_of = F.split(F.col(needle), " ")
+    left = pieces.select(*scope, piece, needle, words_of.alias("_w")).where(F.length(needle) > 0)
+    inner = F.xxhash64(F.array_join(F.slice("_w", 2, 3), " "))
+
+    def runs(tokens: Column) -> Column:
+        last = F.greatest(F.size(tokens) - 2, F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, 3), " ")))
+
+    grams = F.array_distinct(let(F.split(F.col(text), " "), runs))
+    asked = left.where(F.size("_w") >= 5).select(*scope, piece, inner.alias("_k"))
+    offered = texts.where(F.col(text).isNotNull()).select(*scope, key, F.explode(grams).alias("_k"))
+    pairs = asked.join(offered, [*scope, "_k"]).select(*scope, piece, key)
+    short = left.where(F.size("_w") < 5).select(*scope, piece).join(texts.select(*scope, key), scope)
+    found = pairs.unionByName(short).distinct()
+    whole = found.join(left.select(*scope, piece, needle), [*scope, piece]).join(texts.select(*scope, key, text), [*scope, key])
+    return whole.where(F.col(text).contains(F.col(needle))).select(*scope, piece, key).distinct()
 
 
 def shingle_set(text: Column, size: int = 5) -> Column:
     """Distinct hashes of the word runs of a text; the whole text where it is shorter."""
-    w = words(text)
-    last = F.greatest(F.size(w) - (size - 1), F.lit(1))
-    return F.when(F.size(w) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))))
+
+    def runs(w: Column) -> Column:
+        last = F.greatest(F.size(w) - (size - 1), F.lit(1))
+        return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "))))
+
+    return F.array_distinct(let(words(text), runs))
