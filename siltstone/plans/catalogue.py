@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import evidence, relational, streams, texts
+from siltstone.plans import evidence, more, relational, streams, texts
 
-_ALL = relational.QUERIES | texts.QUERIES | evidence.QUERIES | streams.QUERIES
+_ALL = relational.QUERIES | texts.QUERIES | evidence.QUERIES | more.QUERIES | streams.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
