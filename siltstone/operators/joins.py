@@ -47,21 +47,26 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, ri
     """Left rows with the values of the last right row at or before their time, per key.
 
     Both sides go through one window over the union, so no pair of rows is ever formed: a shuffle on the key, a sort,
-    and a running last value. Keys may be as hot as a sort can spill.
+    and a running last value. Keys may be as hot as a sort can spill; rows with a null key match nothing and stay out of
+    the window.
     """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    types = {f.name: f.dataType for f in right.schema.fields}
+    unmatched = left.where(~known).select(*left.columns, *[F.lit(None).cast(types[v]).alias(v) for v in values])
+    left, right = left.where(known), right.where(known)
     rows = left.withColumn("_side", F.lit(1)).withColumn("_time", F.col(left_time))
     feed = right.select(*keys, F.col(right_time).alias("_time"), F.struct(*values).alias("_values")).withColumn("_side", F.lit(0))
     both = rows.unionByName(feed, allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("_last", F.last("_values", ignorenulls=True).over(w)).where(F.col("_side") == 1)
-    return seen.select(*left.columns, *[F.col(f"_last.{v}").alias(v) for v in values])
+    return seen.select(*left.columns, *[F.col(f"_last.{v}").alias(v) for v in values]).unionByName(unmatched)
 
 
 def start_end_intervals(events: DataFrame, keys: list[str], time: str, is_start: Column, is_end: Column) -> DataFrame:
     """Intervals of every start to the next end of its key (null where none follows): keys, started, ended."""
-    w = Window.partitionBy(*keys).orderBy(time, "_end").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys).orderBy(F.desc(time), F.desc("_end")).rowsBetween(Window.unboundedPreceding, -1)
     marked = events.where(is_start | is_end).withColumn("_end", is_end)
-    closed = marked.withColumn("ended", F.first(F.when(F.col("_end"), F.col(time)), ignorenulls=True).over(w))
+    closed = marked.withColumn("ended", F.last(F.when(F.col("_end"), F.col(time)), ignorenulls=True).over(w))
     return closed.where(~F.col("_end")).select(*keys, F.col(time).alias("started"), "ended")
 
 
@@ -81,10 +86,10 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], bucket_seconds: int
 
 def identity_first_match(df: DataFrame, order: str, keys: list[str]) -> DataFrame:
     """Rows with ``matched``: the earliest row that shares a key, the keys tried in turn (not transitive); null where
-    none does. A window per key, no join of rows with rows."""
+    none does. Per key a pre-aggregated minimum joined back, so that null keys are not gathered and hot ones can be split."""
     out = df
     for i, k in enumerate(keys):
-        w = Window.partitionBy(k)
-        first = F.min(order).over(w)
-        out = out.withColumn(f"_m{i}", F.when(F.col(k).isNotNull() & (first < F.col(order)), first))
-    return out.withColumn("matched", F.coalesce(*[F.col(f"_m{i}") for i in range(len(keys))])).drop(*[f"_m{i}" for i in range(len(keys))])
+        first = df.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_m{i}"))
+        out = out.join(first, k, "left")
+    found = F.coalesce(*[F.when(F.col(f"_m{i}") < F.col(order), F.col(f"_m{i}")) for i in range(len(keys))])
+    return out.withColumn("matched", found).drop(*[f"_m{i}" for i in range(len(keys))])

@@ -26,19 +26,18 @@ def read_label_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFr
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines as (line_no, at, level, logger, message); other lines are dropped. Lines keep their order by file offset."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    """Log lines as (file, line_no, at, level, logger, message); other lines are dropped. Lines keep their order in a file."""
+    lines = spark.read.text(path).withColumns({"line_no": F.monotonically_increasing_id(), "file": F.input_file_name()})
     pattern = r"^(\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d)[,.]?\d* +\[?(DEBUG|INFO|WARNING|ERROR|CRITICAL)\]? +([\w.]+)[ :-]+(.*)$"
     parts = lines.where(F.col("value").rlike(pattern))
-    return parts.select("line_no", *[F.regexp_extract("value", pattern, i).alias(c) for i, c in enumerate(("at", "level", "logger", "message"), 1)])
+    return parts.select("file", "line_no", *[F.regexp_extract("value", pattern, i).alias(c) for i, c in enumerate(("at", "level", "logger", "message"), 1)])
 
 
 def log_runs(log: DataFrame, start_marker: str) -> DataFrame:
-    """Log lines with ``run``: 1-based number of the run they belong to, opened by a marker line; 0 before the first."""
-    w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    starts = log.where(F.col("message").contains(start_marker)).select("line_no").withColumn("run", F.row_number().over(Window.orderBy("line_no")))
-    marked = log.join(starts, "line_no", "left")
-    return marked.withColumn("run", F.coalesce(F.max("run").over(w), F.lit(0)))
+    """Log lines with ``run``: 1-based number, within their file, of the run they belong to, opened by a marker line; 0
+    before the first."""
+    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return log.withColumn("run", F.sum(F.col("message").contains(start_marker).cast("int")).over(w).cast("int"))
 
 
 def parse_sse(df: DataFrame, text: str, schema: str) -> DataFrame:
