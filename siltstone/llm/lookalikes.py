@@ -28,7 +28,7 @@ GREEK_TWINS = {"A": "Α", "B": "Β", "E": "Ε", "H": "Η", "I": "Ι", "K": "Κ",
 # Ranges of characters that are not drawn.
 IGNORABLE = [(0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF)]
 SCRIPTS = ("latin", "greek", "cyrillic")
-SWITCH, UNSEEN, MODEL_ROWS = -9.0, -12.0, 20_000
+SWITCH, UNSEEN = -9.0, -12.0
 
 _IGNORED = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in IGNORABLE) + "]")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -92,8 +92,8 @@ def _own(shape: str, script: int) -> str | None:
 def learn_bigrams(docs: DataFrame, text: str = "text") -> dict[tuple[int, str, str], int]:
     """Counts of letter bigrams per script over all texts, from the tokens that hold letters of one script only.
 
-    A worker sends at most one row per bigram, of letters that have a script; the sum is kept on the driver, which is
-    bounded by the three alphabets (checked against MODEL_ROWS per script).
+    A worker sends at most one row per bigram, of letters that have a script; the sums reach the driver, and there are
+    no more of them than pairs of letters in the three alphabets, whatever the number of texts.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,8 +114,7 @@ def learn_bigrams(docs: DataFrame, text: str = "text") -> dict[tuple[int, str, s
         yield pd.DataFrame([(*key, n) for key, n in total.items()], columns=["script", "a", "b", "n"])
 
     counted = docs.where(F.col(text).isNotNull()).select(text).mapInPandas(count, "script int, a string, b string, n bigint")
-    summed = counted.groupBy("script", "a", "b").agg(F.sum("n").alias("n"))
-    rows = summed.orderBy(F.desc("n"), "script", "a", "b").limit(MODEL_ROWS * len(SCRIPTS)).collect()
+    rows = counted.groupBy("script", "a", "b").agg(F.sum("n").alias("n")).collect()
     return {(r["script"], r["a"], r["b"]): r["n"] for r in rows}
 
 

@@ -18,7 +18,9 @@ from siltstone.llm.tokens import TOKENIZER, token_counts
 from siltstone.session import materialize
 from siltstone.sources import table
 
-BLOCKS, SEED = 1024, 11
+SEED = 11
+#: Tokens that a block of the permutation holds about; the number of blocks follows the corpus.
+BLOCK_TOKENS, LEAST_BLOCKS = 50_000_000, 256
 #: Sources of a target table; it is a configuration, and a larger one is refused before anything is collected.
 MOST_SOURCES = 10_000
 
@@ -87,7 +89,7 @@ def plan_mixture(sources: list[dict], budget: float | None = None) -> list[dict]
     return [s | {"weight": weights.get(s["source"], 0.0), "quota": min(weights.get(s["source"], 0.0) * budget, most.get(s["source"], 0.0))} for s in sources]
 
 
-def mix(counted: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = SEED, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+def mix(counted: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(uses, report). ``uses``: one row per use of a document: doc_id, source, tokens, epoch, position in [0, 1]; by
     position, every stretch of the mixture has about the target shares. ``report``: per source of the target table its
     target, weight, quota, tokens used, reached share, documents, and most uses of a document.
@@ -100,6 +102,7 @@ def mix(counted: DataFrame, targets: DataFrame, budget: float | None = None, see
     planned = plan_mixture(_sources(counted, targets), budget)
     schema = "source string, target_share double, max_repeats int, size bigint, weight double, quota double"
     plan = spark.createDataFrame([(p["source"], float(p["share"]), int(p["most"]), int(p["tokens"]), float(p["weight"]), float(p["quota"])) for p in planned], schema)
+    blocks = max(LEAST_BLOCKS, max([p["tokens"] for p in planned], default=0) // BLOCK_TOKENS)
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     docs = counted.where(F.col("tokens").isNotNull()).join(plan, "source")
     docs = docs.withColumns({"key": key, "block": F.shiftrightunsigned(key, 40).cast("int") % blocks})
