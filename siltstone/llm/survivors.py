@@ -23,6 +23,7 @@ PREPRINT_PREFIX = "10.98550/"
 _NO_ABSTRACT = r"(?i)^\W*(no abstract|abstract (is )?(not available|unavailable|withheld|missing)|not available|unavailable|withheld|unknown|none|null|nan|n/?a|tba|missing)\b.{0,160}$"
 _LEAD = r"(?i)^\s*(abstract|summary)\s*[:.\-–—]\s*"
 _TAIL = r"(?i)\s*((©|\(c\)\s|copyright\s)[^.]{0,80}\d{4}.*|key ?words?\s*:.*|index terms\s*[:\-—].*|all rights reserved\W*)$"
+TITLE_SLIPS = 6
 _CUT = r"\s*(\.\.\.|…|\[\.\.\.\]|\[…\])\s*$"
 
 
@@ -71,7 +72,7 @@ def publication_groups(papers: DataFrame) -> DataFrame:
 
 def with_abstract_core(df: DataFrame) -> DataFrame:
     """``df`` with ``core``, the abstract's own text: no tags, label, copyright or keyword tail, no ellipsis; null where
-    there is none (missing, a placeholder, or the title over again). Each cleaning step runs only where its mark occurs."""
+    there is none (missing, a placeholder, or the title over again, slips and a cut title aside). Each cleaning step runs only where its mark occurs."""
     found = df.withColumn("core", F.trim(strip_markup(F.col("abstract"))))
     odd = F.col("core").contains("  ") | F.col("core").contains("\n") | F.col("core").contains("\t")
     found = found.withColumn("core", F.when(odd, F.regexp_replace("core", r"\s+", " ")).otherwise(F.col("core")))
@@ -81,9 +82,14 @@ def with_abstract_core(df: DataFrame) -> DataFrame:
     found = found.withColumn("core", F.when(marks, F.regexp_replace(F.regexp_replace("core", _TAIL, ""), _TAIL, "")).otherwise(F.col("core")))
     found = found.withColumn("core", F.when(ends_in_ellipsis(F.col("core")), F.trim(F.regexp_replace("core", _CUT, ""))).otherwise(F.col("core")))
     short = F.length("core") <= 2 * F.length("title") + 20
-    found = with_title_key(found.withColumn("_short", F.when(short, F.col("core"))), "_short", "_short_k").drop("_short")
-    none = (F.col("core") == "") | F.col("core").rlike(_NO_ABSTRACT) | F.coalesce(F.col("_short_k") == F.col("title_k"), F.lit(False))
-    return found.withColumn("core", F.when(~none, F.col("core"))).drop("_short_k")
+    found = with_title_key(found.withColumn("_short", F.when(short, F.col("core"))), "_short", "_short_k")
+    cut = F.col("_short").isNotNull() & ends_in_ellipsis(F.col("title"))
+    found = found.withColumn("_cut", F.when(cut, F.regexp_replace("title", _CUT, "")))
+    found = with_title_key(found, "_cut", "_cut_k").drop("_short", "_cut")
+    near = F.levenshtein("_short_k", "title_k", TITLE_SLIPS) >= 0
+    is_title = F.coalesce(near, F.lit(False)) | F.coalesce(F.col("_short_k").startswith(F.col("_cut_k")), F.lit(False))
+    none = (F.col("core") == "") | F.col("core").rlike(_NO_ABSTRACT) | is_title
+    return found.withColumn("core", F.when(~none, F.col("core"))).drop("_short_k", "_cut_k")
 
 
 def best_values(papers: DataFrame) -> DataFrame:
