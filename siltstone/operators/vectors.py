@@ -19,18 +19,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, floor: float = -1.0) -> DataFrame:
-    """For every query the k rows of highest cosine (rounded to 6) at or over the floor, itself left out.
+def cosine_top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, floor: float = -1.0, apart: str | None = None) -> DataFrame:
+    """For every query the k rows of highest cosine (rounded to 6) at or over the floor, itself left out, and with
+    ``apart`` those of the query's own value of that column too.
 
     Columns: query, neighbour, similarity, place. The query set is read in blocks of a fixed size; each block goes to
     the workers as one matrix, a batch of rows is one matrix product, and a worker keeps the best k of its batch, so
     that at most k rows per query and batch are shuffled. Ties go to the smaller key.
     """
     out = None
-    stated = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).where(F.col("v").isNotNull()).orderBy("q")
-    blocks = _blocks(stated)
-    for ids, matrix in blocks:
-        found = rows.select(F.col(key).cast("long").alias("r"), F.col(vector).alias("v")).where(F.col("v").isNotNull()).mapInPandas(_best(ids, matrix, k, floor), "query long, neighbour long, similarity double")
+    group = F.col(apart).cast("string") if apart else F.lit(None).cast("string")
+    stated = queries.select(F.col(key).alias("q"), F.col(vector).alias("v"), group.alias("g")).where(F.col("v").isNotNull()).orderBy("q")
+    feed = rows.select(F.col(key).cast("long").alias("r"), F.col(vector).alias("v"), group.alias("g")).where(F.col("v").isNotNull())
+    for ids, matrix, groups in _blocks(stated):
+        found = feed.mapInPandas(_best(ids, matrix, groups, k, floor), "query long, neighbour long, similarity double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = rows.sparkSession.createDataFrame([], "query long, neighbour long, similarity double")
@@ -38,29 +40,33 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k:
     return out.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k)
 
 
-def _blocks(stated: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, vectors = [], []
+def _blocks(stated: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    ids, vectors, groups = [], [], []
     for row in stated.toLocalIterator():
         ids.append(row["q"])
         vectors.append(row["v"])
+        groups.append(row["g"])
         if len(ids) == BLOCK:
-            yield np.array(ids), np.array(vectors, dtype=np.float64)
-            ids, vectors = [], []
+            yield np.array(ids), np.array(vectors, dtype=np.float64), groups
+            ids, vectors, groups = [], [], []
     if ids:
-        yield np.array(ids), np.array(vectors, dtype=np.float64)
+        yield np.array(ids), np.array(vectors, dtype=np.float64), groups
 
 
-def _best(ids: np.ndarray, matrix: np.ndarray, k: int, floor: float):
+def _best(ids: np.ndarray, matrix: np.ndarray, groups: list, k: int, floor: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            keys = pdf["r"].to_numpy()
+            keys, own = pdf["r"].to_numpy(), pdf["g"].to_numpy()
             scores = np.round(np.stack(pdf["v"].to_numpy()).astype(np.float64) @ matrix.T, 6)
             parts = []
             for j, q in enumerate(ids):
                 s = scores[:, j]
-                keep = np.flatnonzero((s >= floor) & (keys != q))
+                mask = (s >= floor) & (keys != q)
+                if groups[j] is not None:
+                    mask &= own != groups[j]
+                keep = np.flatnonzero(mask)
                 keep = keep[np.lexsort((keys[keep], -s[keep]))][:k]
                 parts.append(pd.DataFrame({"query": q, "neighbour": keys[keep], "similarity": s[keep]}))
             yield pd.concat(parts)
