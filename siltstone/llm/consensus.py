@@ -19,7 +19,9 @@ from siltstone.sources import table
 
 CLASSES = ("0", "0.5", "1")
 K = len(CLASSES)
-ROUNDS, CUT = 24, 4
+ROUNDS, CUT = 40, 2
+#: The rounds end when no cell of a confusion matrix moved by more than this share of its annotator's votes.
+SETTLED = 2e-5
 DIAGONAL, OFF, CLASS_PRIOR = 3.0, 0.6, 2.0
 PRIOR = "#prior"
 JUDGE = "#judge"
@@ -83,37 +85,45 @@ def _alpha(k: int, m: int) -> Column:
 def _expected_logs(counts: DataFrame) -> DataFrame:
     """Rows (annotator, label, t0..): expected log probability of the label under each true class.
 
-    In long form, a row per cell of a confusion matrix, so that a digamma is one expression.
+    The digamma is one lambda over the array of an annotator's cells and row sums: one small expression, no shuffle.
     """
     is_prior = F.col("annotator") == PRIOR
     whole = reduce(lambda a, b: a + b, [F.col(f"n{k}0") + CLASS_PRIOR for k in range(K)])
-    cells = []
-    for k in range(K):
-        row = reduce(lambda a, b: a + b, [_alpha(k, j) for j in range(K)])
-        for m in range(K):
-            mine = F.when(is_prior, F.col(f"n{k}0") + CLASS_PRIOR).otherwise(_alpha(k, m))
-            cells.append(F.struct(F.lit(k).alias("k"), F.lit(m).alias("label"), mine.alias("mine"), F.when(is_prior, whole).otherwise(row).alias("all")))
-    long = counts.select("annotator", F.explode(F.array(*cells)).alias("x")).select("annotator", "x.*")
-    long = long.select("annotator", "label", "k", F.explode(F.array(F.struct(F.col("mine").alias("v"), F.lit(1.0).alias("sign")), F.struct(F.col("all").alias("v"), F.lit(-1.0).alias("sign")))).alias("y"))
-    long = long.select("annotator", "label", "k", "y.*").withColumn("t", F.col("sign") * digamma(F.col("v")))
-    return long.groupBy("annotator", "label").agg(*[F.sum(F.when(F.col("k") == k, F.col("t")).otherwise(0.0)).alias(f"t{k}") for k in range(K)])
+    cells = [F.when(is_prior, F.col(f"n{k}0") + CLASS_PRIOR).otherwise(_alpha(k, m)) for k in range(K) for m in range(K)]
+    sums = [F.when(is_prior, whole).otherwise(reduce(lambda a, b: a + b, [_alpha(k, j) for j in range(K)])) for k in range(K)]
+    logs = counts.select("annotator", F.transform(F.array(*cells, *sums), digamma).alias("v"))
+    rows = [F.struct(F.lit(m).alias("label"), *[(F.col("v")[k * K + m] - F.col("v")[K * K + k]).alias(f"t{k}") for k in range(K)]) for m in range(K)]
+    return logs.select("annotator", F.explode(F.array(*rows)).alias("x")).select("annotator", "x.*")
+
+
+def _largest_move(before: DataFrame, after: DataFrame) -> float:
+    """Largest change of a cell between two tables of counts, as a share of its annotator's votes."""
+    cells = [f"n{k}{m}" for k in range(K) for m in range(K)]
+    old = before.select("annotator", *[F.col(c).alias(f"o{c}") for c in cells])
+    total = reduce(lambda a, b: a + b, [F.col(c) for c in cells])
+    moved = F.greatest(*[F.abs(F.col(c) - F.col(f"o{c}")) for c in cells]) / F.greatest(total, F.lit(1.0))
+    return after.join(old, "annotator").agg(F.max(moved)).first()[0] or 0.0
 
 
 def fit(votes: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Posterior class probabilities per row (row_id, q0..) and expected confusion counts per annotator.
 
-    ``votes``: row_id, annotator, label (0..2). An empty table gives empty ones.
+    ``votes``: row_id, annotator, label (0..2). An empty table gives empty ones. Every few rounds the counts are written,
+    which cuts the lineage, and compared with those written before; one number of that reaches the driver.
     """
     everyone = votes.unionByName(votes.select("row_id").distinct().select("row_id", F.lit(PRIOR).alias("annotator"), F.lit(0).alias("label")))
     everyone = materialize(everyone, "votes")
     share = [F.sum(F.when((F.col("label") == k) & (F.col("annotator") != PRIOR), 1.0).otherwise(0.0)) + 0.2 for k in range(K)]
     size = F.sum(F.when(F.col("annotator") != PRIOR, 1.0).otherwise(0.0)) + 0.2 * K
     q = everyone.groupBy("row_id").agg(*[(share[k] / size).alias(f"q{k}") for k in range(K)])
-    counts = None
+    counts = before = None
     for i in range(rounds):
         counts = _counts(everyone, q)
         if i % CUT == CUT - 1 or i == rounds - 1:
             counts = materialize(counts, "counts")
+            if before is not None and _largest_move(before, counts) < SETTLED:
+                break
+            before = counts
         scored = everyone.join(_expected_logs(counts), ["annotator", "label"]).groupBy("row_id").agg(*[F.sum(f"t{k}").alias(f"s{k}") for k in range(K)])
         q = _probabilities(scored)
     return materialize(q, "posterior"), counts.where(F.col("annotator") != PRIOR)
