@@ -44,7 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if the session can still do so."""
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -58,11 +59,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`materialize` that nothing reads any more."""
     for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        _remove(df.sparkSession, path)
+        remove(df.sparkSession, path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from siltstone.session import shared_dir
+from siltstone.session import remove, shared_dir
 from siltstone.sources.sinks import merged
 
 LATENESS = "2 days"
@@ -62,6 +63,7 @@ def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None) ->
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    atexit.register(remove, spark, base)
     writer = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         writer.format("parquet").option("path", f"{base}/table").start().awaitTermination()
