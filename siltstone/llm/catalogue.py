@@ -29,5 +29,10 @@ def queries() -> dict:
     }
 
 
+_LONG = """SELECT 'section' AS item_kind, id AS item_key, CAST(no - 1 AS INTEGER) AS item_no FROM (SELECT id, unnest(sections) AS x, generate_subscripts(sections, 1) AS no FROM parsed_papers) WHERE length(x.text) > 2000
+UNION ALL SELECT 'full_text', id, -1 FROM parsed_papers WHERE (sections IS NULL OR len(sections) = 0) AND length(full_text) > 2000
+UNION ALL SELECT 'chunk', chunk_key, chunk_id FROM chunk_lookup WHERE length(text) > 2000"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {"p3_found": _LONG}
