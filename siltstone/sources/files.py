@@ -126,3 +126,72 @@ def cached_parse(wanted: DataFrame, parsed: DataFrame, min_version: int, min_cha
         found = hit if found is None else found.unionByName(hit)
     w = Window.partitionBy("id").orderBy("by", F.desc("created_at"), "parsed_id")
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "created_at")
+
+
+WORKS = "array<struct<title:string,doi:string,ids:map<string,string>,publication_year:int,cited_by_count:int,abstract_inverted_index:map<string,array<int>>,best_oa_location:struct<pdf_url:string>,open_access:struct<oa_url:string>,primary_location:struct<landing_page_url:string,pdf_url:string,source:struct<display_name:string,type:string>>,topics:array<struct<field:struct<display_name:string>>>,authorships:array<struct<author:struct<display_name:string>>>>>"
+
+
+def parse_works(df: DataFrame, body: str) -> DataFrame:
+    """Works of an open catalogue's JSON answer (field ``results``): bare DOI, arXiv number out of three fields, the best
+    pdf address, no venue for repositories, the first three distinct fields, the abstract from its inverted index."""
+    w = df.select(F.explode(F.from_json(F.get_json_object(body, "$.results"), WORKS)).alias("w")).select("w.*").where("title is not null")
+    pattern = r"(?i)arxiv[.:/](?:abs/|pdf/)?(\d{4}\.\d{4,5})"
+    places = F.concat_ws(" ", F.col("doi"), F.col("primary_location.landing_page_url"), F.col("primary_location.pdf_url"))
+    source = F.col("primary_location.source")
+    fields = F.array_compact(F.transform("topics", lambda t: t["field"]["display_name"]))
+    return w.select(
+        "title", F.lower(F.regexp_replace("doi", r"^https?://[^/]+/", "")).alias("doi"), F.nullif(F.regexp_extract(places, pattern, 1), F.lit("")).alias("arxiv_id"),
+        F.coalesce(F.col("best_oa_location.pdf_url"), F.col("open_access.oa_url"), F.col("primary_location.pdf_url")).alias("pdf_url"),
+        F.when(source["type"] != "repository", source["display_name"]).alias("venue"), F.col("publication_year").alias("year"), F.col("cited_by_count").alias("citation_count"),
+        F.slice(F.array_distinct(fields), 1, 3).alias("fields_of_study"), text_of_inverted_index(F.col("abstract_inverted_index")).alias("abstract"),
+        F.transform("authorships", lambda a: a["author"]["display_name"]).alias("authors"),
+    )
+
+
+ARTICLES = "array<struct<title:string,abstract:string,doi:string,publication_title:string,publication_year:string,citing_paper_count:string,pdf_url:string,authors:struct<authors:array<struct<full_name:string>>>>>"
+
+
+def parse_articles(df: DataFrame, body: str) -> DataFrame:
+    """Articles of a publisher's JSON answer (field ``articles``); numbers that are none become null."""
+    a = df.select(F.explode(F.from_json(F.get_json_object(body, "$.articles"), ARTICLES)).alias("a")).select("a.*").where("title is not null")
+    return a.select(
+        "title", "abstract", "doi", F.col("publication_title").alias("venue"), F.col("publication_year").try_cast("int").alias("year"),
+        F.col("citing_paper_count").try_cast("int").alias("citation_count"), "pdf_url", F.transform("authors.authors", lambda x: x["full_name"]).alias("authors"),
+    )
+
+
+def parse_entries(df: DataFrame, body: str) -> DataFrame:
+    """Entries of an index's JSON answer (``search-results.entry``): abstract without label and copyright tail, year from
+    the date, counts that are no numbers null."""
+    schema = "array<map<string,string>>"
+    e = df.select(F.explode(F.from_json(F.get_json_object(body, "$['search-results'].entry"), schema)).alias("e"))
+    text = F.regexp_replace(F.regexp_replace(F.col("e")["dc:description"], r"(?i)^\s*abstract\s*[:.]?\s*", ""), r"(?i)\s*(©|\(c\)|copyright)\s.*$", "")
+    rows = e.select(
+        F.col("e")["dc:title"].alias("title"), text.alias("abstract"), F.col("e")["prism:doi"].alias("doi"), F.col("e")["prism:publicationName"].alias("venue"),
+        F.substring(F.col("e")["prism:coverDate"], 1, 4).try_cast("int").alias("year"), F.col("e")["citedby-count"].try_cast("int").alias("citation_count"), F.col("e")["dc:creator"].alias("first_author"),
+    )
+    return rows.where("title is not null")
+
+
+def parse_figures(df: DataFrame, body: str) -> DataFrame:
+    """Figures of an extractor's JSON answer, with fall-backs for label and path."""
+    schema = "array<struct<figLabel:string,name:string,figType:string,caption:string,renderURL:string,image_path:string,page:int>>"
+    f = df.select(F.posexplode(F.from_json(F.col(body), schema)).alias("no", "f"))
+    label = F.coalesce(F.concat_ws(" ", F.coalesce(F.col("f.figType"), F.lit("Figure")), F.coalesce(F.col("f.name"), (F.col("no") + 1).cast("string"))))
+    return f.select("no", F.coalesce(F.col("f.figLabel"), label).alias("label"), F.col("f.caption").alias("caption"), F.coalesce(F.col("f.renderURL"), F.col("f.image_path")).alias("image_path"), F.col("f.page").alias("page"))
+
+
+def candidate_urls(arxiv_id: Column, pdf_url: Column, doi: Column, arxiv_base: str, doi_base: str) -> Column:
+    """Addresses to try for a paper's file, the surest first."""
+    bare = F.regexp_replace(arxiv_id, r"v\d+$", "")
+    return F.array_distinct(F.array_compact(F.array(F.concat(F.lit(arxiv_base), bare), pdf_url, F.concat(F.lit(doi_base), doi))))
+
+
+def recent_failures(stored: DataFrame, in_memory: DataFrame, key: str, now: str, max_days: int, min_version: int) -> DataFrame:
+    """Failures that still hold: seen within ``max_days`` of ``now`` by a fetcher of ``min_version`` or later; a row in
+    memory wins over the stored one of its key."""
+    both = in_memory.withColumn("_rank", F.lit(0)).unionByName(stored.withColumn("_rank", F.lit(1)))
+    w = Window.partitionBy(key).orderBy("_rank", F.desc("last_seen"))
+    kept = both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_rank")
+    edge = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(max_days)} DAYS")
+    return kept.where((F.col("last_seen") >= edge) & (F.col("fetcher_version") >= min_version))
