@@ -20,7 +20,8 @@ from siltstone.session import materialize
 from siltstone.sources import table
 
 COPY_SHARE, MIN_TILE = 0.85, 3
-GRAMS = 4
+#: Words before an end that are compared with the corpus, the start of the reason counting as one.
+GRAMS = 8
 
 _PAIR = {"{": "}", "[": "]"}
 _KEY = re.compile(r'"(\w+)"\s*:\s*$')
@@ -28,7 +29,7 @@ _BARE = re.compile(r"null|true|false|-?[\d.]+")
 _EMPTY = re.compile(r"^[\s`'\"\[\]{}():;,.\-]*$")
 _FIELDS = re.compile(r"(?im)(?:^|;\s*)(aspect|claim|quote)\s*(?:[:=]\s*|\n)")
 _PREFIXES = [
-    re.compile(r"(?is)^\s*(?:here is the verdict|verdict|answer|judge?ment|result)\s*:?\s*"),
+    re.compile(r"(?is)^\s*(?:here is the verdict|verdict|answer|judge?ment|result)\b\s*:?\s*"),
     re.compile(r"(?is)^\s*(?:yes|no|partial)\s*[,/]\s*(?:yes|no|partial)\s*[-–—.:;]\s*"),
     re.compile(r"(?is)^\s*(?:supports?|answers?|quote_supports_claim|answers_aspect)\s*[=:]\s*(?:yes|no|partial)\s*[;,.]?\s*"),
     re.compile(r"(?is)^\s*(?:yes|no|partial)\s*[:.;]\s*"),
@@ -235,7 +236,7 @@ def _grams(words: list[str]) -> list[str]:
 
 
 def _tokens(text: str) -> list[str]:
-    return [re.sub(r"\d+", "0", w) for w in _WORDS.findall(text.lower())]
+    return ["^", *(re.sub(r"\d+", "0", w) for w in _WORDS.findall(text.lower()))]
 
 
 def inspect(raw: str | None, prompt: str | None) -> tuple[str | None, str, str]:
@@ -286,7 +287,8 @@ def find_defects(verdicts: DataFrame) -> DataFrame:
     doubtful = seen.where(F.size("ends") > 0).select("verdict_id", "defect", "state", F.posexplode("ends").alias("n", "gram"))
     wanted = doubtful.select("gram").distinct()
     complete = seen.where((F.col("state") != "loose") & (F.size("words") > 0))
-    places = complete.select("words", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("e"))
+    ends = wanted.where(~F.col("gram").contains(" ")).select(F.col("gram").alias("end"))
+    places = complete.select("words", F.posexplode("words").alias("e", "end")).withColumn("e", F.col("e") + 1).join(ends, "end", "left_semi")
     grams = F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAMS), F.col("e"))), lambda k: F.array_join(F.slice(F.col("words"), F.col("e") - k + 1, k), " "))
     counted = (
         places.select((F.col("e") == F.size("words")).cast("long").alias("final"), F.explode(grams).alias("gram"))
