@@ -18,9 +18,12 @@ LATENESS = "2 days"
 
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", files_per_batch: int = 1) -> DataFrame:
-    """A table's files as a stream, its time as an event time with the stated lateness."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table's files (one file, or a folder of them) as a stream, its time as an event time with the stated lateness."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+    source = reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return source.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
 
 
