@@ -76,7 +76,8 @@ def fuzzy_titles(s: SparkSession, d: str) -> DataFrame:
     p = T(s, d, "retrieved_papers").where("title is not null").select(norm.alias("b")).distinct()
     key = lambda c: F.array_join(F.slice(F.split(F.col(c), " "), 1, 3), " ")
     j = r.withColumn("k", key("a")).join(p.withColumn("k", key("b")), "k")
-    near = 30 * F.levenshtein("a", "b") <= F.greatest(F.length("a"), F.length("b"))
+    longest = F.greatest(F.length("a"), F.length("b"))
+    near = F.when(30 * F.abs(F.length("a") - F.length("b")) <= longest, 30 * F.levenshtein("a", "b") <= longest).otherwise(False)
     return j.where(near).groupBy("reference_id").agg(F.count(F.lit(1)).alias("titles"), F.min("b").alias("first_title"))
 
 
