@@ -171,12 +171,10 @@ def section_relevance(s: SparkSession, d: str) -> DataFrame:
 
 
 def title_jaccard(s: SparkSession, d: str) -> DataFrame:
-    """Jaccard similarity of a reference's title words and those of the parsed papers with the same first five words."""
+    """Jaccard similarity of a reference's title words and those of the parsed papers, all pairs of 0.6 or more."""
     r = T(s, d, "report_references").where("title is not null").select("reference_id", X.words(F.col("title")).alias("a"))
     p = T(s, d, "parsed_papers").where("title is not null").select("id", X.words(F.col("title")).alias("b"))
-    r, p = r.withColumn("k", F.array_join(F.slice("a", 1, 5), " ")), p.withColumn("k", F.array_join(F.slice("b", 1, 5), " "))
-    j = r.join(p, "k").select("reference_id", "id", F.round(X.jaccard(F.array_distinct("a"), F.array_distinct("b")), 6).alias("jaccard"))
-    return j.where("jaccard >= 0.6")
+    return retrieval.jaccard_pairs(r, "reference_id", "a", p, "id", "b", (3, 5))
 
 
 def cosine_top_k(s: SparkSession, d: str) -> DataFrame:

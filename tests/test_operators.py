@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import keys as K
 from siltstone.functions import text as X
 from siltstone.operators import components, evalstats, evidence, events, joins, ranking, retrieval, vectors
+from siltstone.plans import texts
 from siltstone.sources import files, sinks
 
 
@@ -166,6 +168,42 @@ def test_containment_and_shingles(spark):
     assert [r[0] for r in s] == [2, 1, -1] or [r[0] for r in s][:2] == [2, 1]
 
 
+def brute_jaccard(left, right, least):
+    pairs = ((x, y, set(a), set(b)) for x, a in left for y, b in right)
+    return sorted((x, y, round(len(a & b) / len(a | b), 6)) for x, y, a, b in pairs if a | b and len(a & b) / len(a | b) >= least)
+
+
+def test_jaccard_pairs_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(40)]
+    weights = 1 / np.arange(1, 41)
+
+    def side(n, start):
+        return [(start + i, [str(w) for w in rng.choice(vocabulary, rng.integers(0, 9), p=weights / weights.sum())]) for i in range(n)]
+
+    left, right = side(150, 0), side(150, 1000)
+    a, b = spark.createDataFrame(left, "x long, a array<string>"), spark.createDataFrame(right, "y long, b array<string>")
+    for least in ((3, 5), (4, 5), (1, 1)):
+        assert rows(retrieval.jaccard_pairs(a, "x", "a", b, "y", "b", least), "x", "y") == brute_jaccard(left, right, least[0] / least[1])
+    with pytest.raises(ValueError):
+        retrieval.jaccard_pairs(a, "x", "a", b, "y", "b", (1, 2))
+
+
+def test_title_jaccard_compares_all_pairs(spark, tmp_path):
+    """Titles whose first words differ, against brute force (the SQL twin holds a join on the first five words)."""
+    titles = [
+        (1, "Toward reliable abstract alignment with claim centered memories"), (2, "reliable abstract alignment with claim centered memories"),
+        (3, "A guide to quote tables"), (4, "Maps"), (5, None), (6, "—"),
+    ]
+    papers = [("p1", "Towards reliable abstract alignment with claim centered memories"), ("p2", "The guide to quote tables"), ("p3", "maps"), ("p4", ""), ("p5", None)]
+    spark.createDataFrame(titles, "reference_id long, title string").write.parquet(f"{tmp_path}/report_references.parquet")
+    spark.createDataFrame(papers, "id string, title string").write.parquet(f"{tmp_path}/parsed_papers.parquet")
+    cut = lambda side: [(k, re.findall("[a-z0-9]+", t.lower())) for k, t in side if t is not None]
+    want = brute_jaccard(cut(titles), cut(papers), 0.6)
+    assert [w[:2] for w in want] == [(1, "p1"), (2, "p1"), (3, "p2"), (4, "p3")]
+    assert rows(texts.title_jaccard(spark, str(tmp_path)), "reference_id", "id") == want
+
+
 def test_sinks(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", "t0"), (2, "b", "t0")], "k int, v string, created string")
     new = spark.createDataFrame([(2, "B", "t1"), (3, "C", "t1")], "k int, v string, created string")
