@@ -94,6 +94,40 @@ def jaccard_pairs(left: DataFrame, key: str, a: str, right: DataFrame, other: st
     return found.where(F.col("jaccard") >= part / whole).select(key, other, "jaccard")
 
 
+def near_strings(left: DataFrame, a: str, right: DataFrame, b: str, letters: int) -> DataFrame:
+    """Pairs of distinct strings (a, b) within one edit for every ``letters`` letters of the longer one, all of them.
+
+    The partner of a string of n letters is at most n * letters / (letters - 1) long, so k = n // (letters - 1) bounds
+    the edits. Each ``b`` is cut into k + 1 segments of fixed width from its start; of these one, the i-th, is whole
+    with i edits before it, so ``a`` holds it shifted by at most i places. Strings under ``letters - 1`` meet whole.
+    """
+    step = letters - 1
+    n, none = F.length(a), F.array().cast("array<bigint>")
+
+    def width(k: Column) -> Column:
+        return F.floor(k * step / (k + 1)).cast("int")
+
+    def cut(k: Column) -> Column:
+        places = F.transform(F.sequence(F.lit(0), k), lambda i: F.xxhash64(k, i, F.substring(b, i * width(k) + 1, width(k))))
+        return F.when(k == 0, F.array(F.xxhash64(k, F.lit(0), F.col(b)))).otherwise(places)
+
+    def asked(k: Column) -> Column:
+        def around(i: Column) -> Column:
+            at = F.sequence(F.greatest(i * width(k) - i, F.lit(0)), i * width(k) + i)
+            return F.transform(at, lambda x: F.xxhash64(k, i, F.substring(a, x + 1, width(k))))
+
+        return F.when(k == 0, F.array(F.xxhash64(k, F.lit(0), F.col(a)))).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), k), around)))
+
+    lowest, highest = F.floor(F.ceil(n * step / letters) / step).cast("int"), F.floor(F.floor(n * letters / step) / step).cast("int")
+    keys = F.flatten(F.transform(F.sequence(lowest, highest), lambda k: let(k, asked)))
+    x = left.select(a, F.explode(F.array_distinct(F.coalesce(keys, none))).alias("_k"))
+    y = right.select(b, F.explode(let(F.floor(F.length(b) / step).cast("int"), cut)).alias("_k"))
+    longest = F.greatest(F.length(a), F.length(b))
+    near = F.expr(f"levenshtein(`{a}`, `{b}`, cast(greatest(length(`{a}`), length(`{b}`)) div {letters} as int)) >= 0")
+    close = letters * F.abs(F.length(a) - F.length(b)) <= longest
+    return x.join(y, "_k").where(close).where(near).select(a, b).distinct()
+
+
 def shingle_set(text: Column, size: int = 5) -> Column:
     """Distinct hashes of the word runs of a text; the whole text where it is shorter."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import text as X
-from siltstone.operators import vectors
+from siltstone.operators import retrieval, vectors
 from siltstone.operators.ranking import top_k
 from siltstone.sources import table
 
@@ -70,15 +70,13 @@ def other_label_neighbours(s: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_titles(s: SparkSession, d: str) -> DataFrame:
-    """References and papers whose titles share their first three words and differ in at most one letter in thirty."""
+    """References and papers whose titles differ in at most one letter in thirty, all pairs of them."""
     norm = F.trim(F.regexp_replace(F.lower("title"), r"[^a-z0-9]+", " "))
     r = T(s, d, "report_references").where("title is not null").select("reference_id", norm.alias("a"))
     p = T(s, d, "retrieved_papers").where("title is not null").select(norm.alias("b")).distinct()
-    key = lambda c: F.array_join(F.slice(F.split(F.col(c), " "), 1, 3), " ")
-    j = r.withColumn("k", key("a")).join(p.withColumn("k", key("b")), "k")
-    longest = F.greatest(F.length("a"), F.length("b"))
-    near = F.when(30 * F.abs(F.length("a") - F.length("b")) <= longest, 30 * F.levenshtein("a", "b") <= longest).otherwise(False)
-    return j.where(near).groupBy("reference_id").agg(F.count(F.lit(1)).alias("titles"), F.min("b").alias("first_title"))
+    j = retrieval.near_strings(r.select("a").distinct(), "a", p, "b", 30)
+    found = j.groupBy("a").agg(F.count(F.lit(1)).alias("titles"), F.min("b").alias("first_title"))
+    return r.join(found, "a").groupBy("reference_id").agg(F.sum("titles").alias("titles"), F.min("first_title").alias("first_title"))
 
 
 def near_misses(s: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import keys as K
 from siltstone.functions import text as X
 from siltstone.operators import components, evalstats, evidence, events, joins, ranking, retrieval, vectors
-from siltstone.plans import texts
+from siltstone.plans import texts, views
 from siltstone.sources import files, sinks
 
 
@@ -204,6 +204,45 @@ def test_title_jaccard_compares_all_pairs(spark, tmp_path):
     assert rows(texts.title_jaccard(spark, str(tmp_path)), "reference_id", "id") == want
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_near_strings_equal_brute_force(spark):
+    """Slips anywhere, the first letters included, over all lengths around the steps of the bound."""
+    rng = np.random.default_rng(12)
+    letters = list("abcd ")
+    right = ["", "a"] + ["".join(rng.choice(letters, n)) for n in [*range(1, 130, 2), 28, 29, 30, 57, 58, 59, 60, 87, 88, 116, 120]]
+
+    def slip(t):
+        t = list(t)
+        for _ in range(rng.integers(0, 6)):
+            at = int(rng.integers(0, len(t) + 1))
+            t[at : at + int(rng.integers(0, 2))] = [str(rng.choice(letters))] * int(rng.integers(0, 2))
+        return "".join(t)
+
+    left = sorted({slip(t) for t in right for _ in range(8)})
+    right = sorted(set(right))
+    want = sorted((x, y) for x in left for y in right if 30 * abs(len(x) - len(y)) <= max(len(x), len(y)) and 30 * edits(x, y) <= max(len(x), len(y)))
+    a, b = spark.createDataFrame([(x,) for x in left], "a string"), spark.createDataFrame([(y,) for y in right], "b string")
+    assert rows(retrieval.near_strings(a, "a", b, "b", 30), "a", "b") == want and len(want) > 150
+
+
+def test_fuzzy_titles_with_slips_in_the_first_words(spark, tmp_path):
+    """Against literals: the SQL twin holds a join on the first three words."""
+    titles = [(1, "T0ken 1evel controllers for long claim memories in quote tables"), (2, "Token level controllers for long claim memories in quote table"), (3, "maps"), (3, "maps"), (4, None), (5, "h")]
+    papers = [("p1", "Token level controllers for long claim memories in quote tables"), ("p2", "Token-level controllers for long claim memories in quote tables."), ("p3", "Maps!"), ("p4", None), ("p5", "Mops")]
+    spark.createDataFrame(titles, "reference_id long, title string").write.parquet(f"{tmp_path}/report_references.parquet")
+    spark.createDataFrame(papers, "id string, title string").write.parquet(f"{tmp_path}/retrieved_papers.parquet")
+    first = "token level controllers for long claim memories in quote tables"
+    assert rows(views.fuzzy_titles(spark, str(tmp_path)), "reference_id") == [(1, 1, first), (2, 1, first), (3, 2, "maps")]
+
+
 def test_sinks(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", "t0"), (2, "b", "t0")], "k int, v string, created string")
     new = spark.createDataFrame([(2, "B", "t1"), (3, "C", "t1")], "k int, v string, created string")
