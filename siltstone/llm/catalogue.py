@@ -24,6 +24,7 @@ def queries() -> dict:
         "p7_mix": mixing.p7_mix,
         "p8_found": lookalikes.p8_found,
         "p8_canonical": lookalikes.p8_canonical,
+        "p8_classes": lookalikes.p8_classes,
         "p7_shares": mixing.p7_shares,
         "p7_temperature": mixing.p7_temperature,
     }

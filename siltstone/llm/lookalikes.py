@@ -1,14 +1,18 @@
 """One form for visually identical text.
 
 Compatibility normalisation of what looks the same (wide letters, ligatures, unit signs; not raised or circled digits),
-deletion of ignorable characters, one kind of space, then look-alike letters: each token is a lattice of the letters of
-equal shape in every position, and the best path is found by Viterbi under character n-gram scores of each script, with
-a price for changing the script and a prior from the letters of the text that exist in one script only. The lattice
-depends on shapes alone, so that texts of equal looks get equal forms.
+deletion of ignorable characters, one kind of space; then every token is a lattice: at each position the letters of all
+scripts that have the stored letter's shape, accents apart. The spelling of the best path, found by Viterbi under
+character n-gram scores of each script, is the token's form. Scores and priors depend on shapes alone, so that texts of
+equal looks have equal lattices and get equal forms.
+
+A text whose unmistakable letters all belong to one script is spelled in that script wherever it has the letters; n-gram
+scores decide where it has not, in texts of several scripts, and in texts without any unmistakable letter.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -23,17 +27,22 @@ from siltstone.session import materialize
 from siltstone.sources import table
 
 # Letters of equal shape, Latin letter and its twins.
-CYRILLIC_TWINS = {"A": "А", "B": "В", "C": "С", "E": "Е", "H": "Н", "I": "І", "J": "Ј", "K": "К", "M": "М", "O": "О", "P": "Р", "S": "Ѕ", "T": "Т", "X": "Х", "Y": "Ү", "a": "а", "c": "с", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "ј", "o": "о", "p": "р", "q": "ԛ", "s": "ѕ", "w": "ԝ", "x": "х", "y": "у"}
-GREEK_TWINS = {"A": "Α", "B": "Β", "E": "Ε", "H": "Η", "I": "Ι", "K": "Κ", "M": "Μ", "N": "Ν", "O": "Ο", "P": "Ρ", "T": "Τ", "X": "Χ", "Y": "Υ", "Z": "Ζ", "o": "ο", "v": "ν"}
+CYRILLIC_TWINS = {"A": "А", "B": "В", "C": "С", "E": "Е", "G": "Ԍ", "H": "Н", "I": "І", "J": "Ј", "K": "К", "M": "М", "O": "О", "P": "Р", "Q": "Ԛ", "S": "Ѕ", "T": "Т", "V": "Ѵ", "W": "Ԝ", "X": "Х", "Y": "Ү", "a": "а", "c": "с", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "ј", "l": "ӏ", "o": "о", "p": "р", "q": "ԛ", "s": "ѕ", "v": "ѵ", "w": "ԝ", "x": "х", "y": "у"}
+GREEK_TWINS = {"A": "Α", "B": "Β", "C": "Ϲ", "E": "Ε", "H": "Η", "I": "Ι", "J": "Ϳ", "K": "Κ", "M": "Μ", "N": "Ν", "O": "Ο", "P": "Ρ", "T": "Τ", "X": "Χ", "Y": "Υ", "Z": "Ζ", "c": "ϲ", "j": "ϳ", "o": "ο", "v": "ν"}
+ARMENIAN_TWINS = {"O": "Օ", "h": "հ", "o": "օ"}
 # Ranges of characters that are not drawn.
 IGNORABLE = [(0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF)]
-SCRIPTS = ("latin", "greek", "cyrillic")
-SWITCH, UNSEEN = -9.0, -12.0
+SCRIPTS = ("latin", "greek", "cyrillic", "armenian")
+#: Log scores: of changing the script inside a token, of an unseen pair of letters, of a token (or changed letter) in
+#: another script than the text's leading one, and of a letter outside the only script of the text.
+SWITCH, UNSEEN, AWAY, FOREIGN = -9.0, -12.0, -14.0, -1000.0
 
 _IGNORED = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in IGNORABLE) + "]")
-_LETTERS = re.compile(r"[^\W\d_]+")
-_TO_LATIN = {ord(t): latin for twins in (CYRILLIC_TWINS, GREEK_TWINS) for latin, t in twins.items()}
-_MEMBERS = {latin: [latin, GREEK_TWINS.get(latin), CYRILLIC_TWINS.get(latin)] for latin in {*CYRILLIC_TWINS, *GREEK_TWINS}}
+_MARKS = "̀-ͯ"
+_TOKENS = re.compile(rf"(?:[^\W\d_][{_MARKS}]*)+")
+_UNITS = re.compile(rf"([^\W\d_])([{_MARKS}]*)")
+_TABLES = (GREEK_TWINS, CYRILLIC_TWINS, ARMENIAN_TWINS)
+_CLASSES = {c: members for latin in {x for t in _TABLES for x in t} for members in [(latin, *(t.get(latin) for t in _TABLES))] for c in members if c}
 
 
 def _same_look(char: str) -> str:
@@ -61,59 +70,62 @@ class _Looks(dict):
         return found
 
 
-def shape_of(text: str, looks: dict) -> str:
-    """A text by its looks: ignorable characters gone, same-looking ones unified, look-alike letters as Latin ones."""
-    if text.isascii():
-        return text.replace("\r\n", "\n")
-    plain = unicodedata.normalize("NFC", _IGNORED.sub("", text.replace("\r\n", "\n")))
-    return unicodedata.normalize("NFC", plain.translate(looks)).translate(_TO_LATIN)
+def decomposed(text: str, looks: dict) -> str:
+    """A text without ignorable characters, same-looking ones unified, accents apart from their letters; the letters
+    are those stored."""
+    plain = _IGNORED.sub("", text.replace("\r\n", "\n"))
+    return unicodedata.normalize("NFD", plain.translate(looks)) if not plain.isascii() else plain
 
 
 def script_of(char: str) -> int | None:
     """Index of the only script a letter can belong to by its shape; None for shared shapes and other scripts."""
-    if char in _MEMBERS:
+    if char in _CLASSES:
         return None
     code = ord(char)
     if code < 0x250 or 0x1E00 <= code < 0x1F00:
         return 0
     if 0x370 <= code < 0x400 or 0x1F00 <= code < 0x2000:
         return 1
-    return 2 if 0x400 <= code < 0x530 else None
+    if 0x400 <= code < 0x530:
+        return 2
+    return 3 if 0x530 <= code < 0x590 else None
 
 
-def _own(shape: str, script: int) -> str | None:
-    """The letter of a script that has this shape."""
-    members = _MEMBERS.get(shape)
-    if members:
-        return members[script]
-    return shape if script_of(shape) == script else None
+def readings(char: str) -> dict[int, str]:
+    """A position of the lattice: the letters of this shape by script; -1 for a letter of no script listed here."""
+    if char in _CLASSES:
+        return {k: c for k, c in enumerate(_CLASSES[char]) if c}
+    k = script_of(char)
+    return {-1 if k is None else k: char}
 
 
 def learn_bigrams(docs: DataFrame, text: str = "text") -> dict[tuple[int, str, str], int]:
     """Counts of letter bigrams per script over all texts, from the tokens that hold letters of one script only.
 
-    A worker sends at most one row per bigram, of letters that have a script; the sums reach the driver, and there are
-    no more of them than pairs of letters in the three alphabets, whatever the number of texts.
+    Tokens are counted by Spark first (words repeat), only distinct ones reach Python, and a worker sends at most one row
+    per bigram; the sums reach the driver, no more of them than pairs of letters in the alphabets, whatever the number of
+    texts.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         looks, total = _Looks(), Counter()
         for pdf in batches:
-            tokens: Counter = Counter()
-            for t in pdf[text]:
-                tokens.update(_LETTERS.findall(shape_of(t, looks)))
-            for token, n in tokens.items():
-                scripts = {script_of(c) for c in token}
-                if len(scripts - {None}) != 1:
-                    continue
-                k = next(iter(scripts - {None}))
-                own = ["^", *(_own(c, k) for c in token), "$"]
-                for a, b in zip(own, own[1:]):
-                    if a and b:
-                        total[k, a, b] += n
+            for token, n in zip(pdf["token"], pdf["n"]):
+                for word in _TOKENS.findall(decomposed(token, looks)):
+                    letters = [m[0] for m in _UNITS.findall(word)]
+                    scripts = {script_of(c) for c in letters} - {None}
+                    if len(scripts) != 1:
+                        continue
+                    k = next(iter(scripts))
+                    own = ["^", *(readings(c).get(k) for c in letters), "$"]
+                    for a, b in zip(own, own[1:]):
+                        if a and b:
+                            total[k, a, b] += int(n)
         yield pd.DataFrame([(*key, n) for key, n in total.items()], columns=["script", "a", "b", "n"])
 
-    counted = docs.where(F.col(text).isNotNull()).select(text).mapInPandas(count, "script int, a string, b string, n bigint")
+    tokens = docs.where(F.col(text).isNotNull()).select(F.explode(F.split(text, r"[\s\p{Z}\p{P}\p{S}\p{N}]+")).alias("token"))
+    tokens = tokens.where("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counted = tokens.mapInPandas(count, "script int, a string, b string, n bigint")
     rows = counted.groupBy("script", "a", "b").agg(F.sum("n").alias("n")).collect()
     return {(r["script"], r["a"], r["b"]): r["n"] for r in rows}
 
@@ -122,30 +134,32 @@ def log_scores(counts: dict[tuple[int, str, str], int]) -> dict[tuple[int, str,
     firsts: Counter = Counter()
     for (k, a, _), n in counts.items():
         firsts[k, a] += n
-    return {(k, a, b): math.log((n + 0.1) / (firsts[k, a] + 10)) for (k, a, b), n in counts.items()}
-
-
-def best_path(token: str, scores: dict, prior: tuple[float, ...]) -> str:
-    """Best spelling of a token given by shapes: letters with a script of their own stay, the others get the script that
-    scores best along the token. Equal scores go to Latin, then Greek."""
-    states: dict[int, tuple[float, str]] = {}
-    for i, shape in enumerate(token):
-        options = {k: _own(shape, k) for k in range(len(SCRIPTS))}
-        options = {k: c for k, c in options.items() if c} or {-1: shape}
-        new: dict[int, tuple[float, str]] = {}
-        for k, c in options.items():
+    return {(k, a, b): max(UNSEEN, math.log((n + 0.1) / (firsts[k, a] + 10))) for (k, a, b), n in counts.items()}
+
+
+def best_path(token: str, scores: dict, start: tuple[float, ...], letter: tuple[float, ...] = (0.0,) * len(SCRIPTS)) -> str:
+    """Best spelling of a decomposed token: at each position one letter of the same shape, accents kept.
+
+    ``start`` is the price of beginning (or changing to) a script, ``letter`` of each letter in it. Equal scores go to
+    the earlier script.
+    """
+    states: dict[int, tuple[float, str, str]] = {}
+    for i, (char, marks) in enumerate(_UNITS.findall(token)):
+        new: dict[int, tuple[float, str, str]] = {}
+        for k, c in readings(char).items():
+            own = letter[k] if k >= 0 else 0.0
             if not i:
-                new[k] = (prior[k] + scores.get((k, "^", c), UNSEEN) if k >= 0 else 0.0, c)
+                new[k] = ((start[k] + scores.get((k, "^", c), UNSEEN) if k >= 0 else 0.0) + own, c, c + marks)
                 continue
             best = None
-            for j, (score, path) in states.items():
-                step = scores.get((k, path[-1], c), UNSEEN) if j == k else SWITCH + (prior[k] if k >= 0 else 0.0)
-                if best is None or score + step > best[0] + 1e-12:
-                    best = (score + step, path + c)
+            for j, (score, last, path) in states.items():
+                step = scores.get((k, last, c), UNSEEN) if j == k else SWITCH + (start[k] if k >= 0 else 0.0)
+                if best is None or score + step + own > best[0] + 1e-12:
+                    best = (score + step + own, c, path + c + marks)
             new[k] = best
         states = new
-    ranked = sorted(states.items(), key=lambda x: (-round(x[1][0] + scores.get((x[0], x[1][1][-1], "$"), UNSEEN), 9), x[0]))
-    return ranked[0][1][1]
+    ranked = sorted(states.items(), key=lambda x: (-round(x[1][0] + scores.get((x[0], x[1][1], "$"), UNSEEN), 9), x[0]))
+    return ranked[0][1][2]
 
 
 class Unifier:
@@ -154,46 +168,66 @@ class Unifier:
     def __init__(self, scores: dict, most: int = 200_000):
         self.scores, self.most, self.looks, self.known = scores, most, _Looks(), {}
 
-    def _token(self, token: str, lead: int) -> str:
-        key = (token, lead)
+    def path(self, token: str, lead: int, pure: bool) -> str:
+        """Best path of a token of a text whose leading script is ``lead``, the only one of its unmistakable letters if
+        ``pure``. A token whose own unmistakable letters are of one script is led by that."""
+        key = (token, lead, pure)
         if key not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()
-            own = {script_of(c) for c in token} - {None}
-            if len(own) == 1 and all(_own(c, k := next(iter(own))) for c in token):
-                self.known[key] = "".join(_own(c, k) for c in token)  # a path without a change of script is the best one
-            elif len(own) > 1 or all(c in _MEMBERS for c in token):
-                prior = tuple(0.0 if k == lead else -14.0 for k in range(len(SCRIPTS)))
-                self.known[key] = best_path(token, self.scores, prior)
-            else:
-                self.known[key] = token
+            own = {script_of(c) for c in token if c.isalpha()} - {None}
+            first = next(iter(own)) if len(own) == 1 else lead
+            start = tuple(0.0 if k == first else AWAY for k in range(len(SCRIPTS)))
+            letter = tuple(0.0 if k == first or not (pure or len(own) == 1) else FOREIGN for k in range(len(SCRIPTS)))
+            self.known[key] = best_path(token, self.scores, start, letter)
         return self.known[key]
 
     def unify(self, text: str) -> str:
-        shape = shape_of(text, self.looks)
-        if shape.isascii():
-            lead = 0
+        plain = decomposed(text, self.looks)
+        kinds = Counter({c: plain.count(c) for c in set(plain) if c.isalpha()})
+        seen: Counter = Counter()
+        for c, n in kinds.items():
+            if (s := script_of(c)) is not None:
+                seen[s] += n
+        lead = max(range(len(SCRIPTS)), key=lambda k: (seen.get(k, 0), -k))
+        pure = len(seen) == 1
+        if pure:  # a token that the only script spells as it stands is its own best path: only the others are searched
+            odd = "".join(c for c in kinds if c in _CLASSES and _CLASSES[c][lead] != c)
+            if odd:
+                search = re.compile(rf"(?:[^\W\d_][{_MARKS}]*)*[{odd}](?:[^\W\d_]|[{_MARKS}])*")
+                plain = search.sub(lambda m: self.path(m.group(0), lead, True), plain)
         else:
-            seen = Counter(s for c in set(shape) if (s := script_of(c)) is not None for _ in range(shape.count(c)))
-            lead = max(range(len(SCRIPTS)), key=lambda k: (seen.get(k, 0), -k))
-        return _LETTERS.sub(lambda m: self._token(m.group(0), lead), shape)
+            plain = _TOKENS.sub(lambda m: self.path(m.group(0), lead, False), plain)
+        return unicodedata.normalize("NFC", plain)
+
+
+def _key(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def unify_texts(docs: DataFrame, scores: dict, text: str = "text", with_text: bool = True) -> DataFrame:
     """doc_id, ``form`` (a 128-bit key of the canonical text), ``raw`` (one of the text as stored), and the canonical
-    text if asked for. Null texts are left out; empty ones are a text; ids may repeat; whole texts are read."""
-    import hashlib
+    text if asked for. Null texts are left out; empty ones are a text; ids may repeat; whole texts are read.
 
+    A text of ASCII characters with a letter only Latin has is its own best path, line ends aside; it is keyed by Spark
+    and never sent to Python.
+    """
     columns = "doc_id bigint, form string, raw string" + ", canonical string" * with_text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unifier = Unifier(scores)
         for pdf in batches:
             forms = [unifier.unify(t) for t in pdf[text]]
-            out = {"doc_id": pdf["doc_id"], "form": [hashlib.md5(f.encode("utf-8", "surrogatepass")).hexdigest() for f in forms], "raw": [hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in pdf[text]]}
+            out = {"doc_id": pdf["doc_id"], "form": [_key(f) for f in forms], "raw": [_key(t) for t in pdf[text]]}
             yield pd.DataFrame(out | ({"canonical": forms} if with_text else {}))
 
-    return docs.where(F.col(text).isNotNull()).select(F.col("doc_id").cast("long"), text).mapInPandas(run, columns)
+    some = docs.where(F.col(text).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text))
+    only_latin = "".join(c for c in map(chr, range(65, 123)) if c.isalpha() and c not in _CLASSES)
+    plain = (F.octet_length(text) == F.char_length(text)) & F.col(text).rlike(f"[{only_latin}]")
+    searched = some.where(~plain).mapInPandas(run, columns)
+    same = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
+    kept = some.where(plain).select("doc_id", F.md5(F.encode(same, "UTF-8")).alias("form"), F.md5(F.encode(text, "UTF-8")).alias("raw"), *([same.alias("canonical")] * with_text))
+    return kept.unionByName(searched)
 
 
 def lookalike_pairs(docs: DataFrame) -> DataFrame:
@@ -210,10 +244,23 @@ def lookalike_pairs(docs: DataFrame) -> DataFrame:
     return a.join(b, "form").where((F.col("doc_a") < F.col("doc_b")) & (F.col("raw_a") != F.col("raw_b"))).select("doc_a", "doc_b")
 
 
+def lookalike_classes(docs: DataFrame) -> DataFrame:
+    """Membership instead of pairs: doc_id, ``class_id`` (smallest doc_id of its form), and the number of documents and
+    of different texts of the class. One row per document with a text, however hot a form is."""
+    keys = materialize(unify_texts(docs, log_scores(learn_bigrams(docs)), with_text=False), "forms")
+    per_text = keys.groupBy("form", "raw").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    sizes = per_text.groupBy("form").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"))
+    return keys.join(sizes, "form").select("doc_id", "class_id", "n_docs", "n_texts")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in its one form, and whether that changed it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
