@@ -27,6 +27,8 @@ def queries() -> dict:
         "p8_classes": lookalikes.p8_classes,
         "p7_shares": mixing.p7_shares,
         "p7_temperature": mixing.p7_temperature,
+        "p7_tempered_mix": mixing.p7_tempered_mix,
+        "p7_tempered_shares": mixing.p7_tempered_shares,
     }
 
 

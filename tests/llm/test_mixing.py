@@ -36,6 +36,24 @@ def test_shares_repeats_and_blocks(spark):
     share = sum(r.tokens for r in early if r.source == "small") / sum(r.tokens for r in early)
     assert share == pytest.approx(0.2 / 0.9, abs=0.02)
     assert len({(r.doc_id, r.epoch) for r in uses}) == len(uses)
+    assert report["small"].corpus_share == 1 and 0 < report["big"].corpus_share < 1 and report["big"].exponent == 1
+    orders = [[r.doc_id for r in sorted(uses, key=lambda r: r.position) if r.source == "small" and r.epoch == e] for e in (1, 2)]
+    assert sorted(orders[0]) == sorted(orders[1]) and orders[0] != orders[1]
+
+
+def test_a_long_document_at_the_budget_leaves_no_gap(spark):
+    docs = [(i, "a", 900 if i % 5 == 0 else 10 + i % 3) for i in range(300)] + [(1000 + i, "b", 7) for i in range(100)]
+    targets = [("a", 0.9, 1), ("b", 0.1, 1)]
+    for seed in (1, 2, 3):
+        _, report = run(spark, docs, targets, seed=seed)
+        assert report["a"].reached_share == pytest.approx(0.9, abs=0.002) and report["a"].used_tokens <= report["a"].quota
+
+
+def test_a_larger_budget_bisects_the_exponent(spark):
+    docs = [(i, "a", 10) for i in range(1000)] + [(5000 + i, "b", 10) for i in range(50)]
+    _, report = run(spark, docs, [("a", 0.5, 2), ("b", 0.5, 4)], budget=10_500)
+    assert 0 < report["a"].exponent < 1 and report["b"].most_uses <= 4
+    assert report["b"].used_tokens == pytest.approx(2000, abs=20) and report["a"].used_tokens == pytest.approx(8500, abs=20)
 
 
 def test_same_on_any_partitioning(spark):
