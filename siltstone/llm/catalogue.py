@@ -13,6 +13,7 @@ def queries() -> dict:
         "p2_confidence": linkage.p2_confidence,
         "p3_found": splitting.p3_found,
         "p3_pieces": splitting.p3_pieces,
+        "p3_token_pieces": splitting.p3_token_pieces,
         "p4_found": consensus.p4_found,
         "p4_consensus": consensus.p4_consensus,
         "p4_annotators": consensus.p4_annotators,

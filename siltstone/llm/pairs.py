@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,9 @@ _TERMINATED = re.compile(r"""[.!?。！？]["'”’»)\]]*\s*$""")
 _ELLIPSIS = re.compile(r"(\.\.\.|…)\s*$")
 _WORDS = re.compile(r"\w+", re.UNICODE)
 
+_HAN, _KANA = re.compile("[一-鿿]"), re.compile("[぀-ヿ]")
+# Languages told by their script alone.
+_SCRIPTS = {"ru": re.compile("[Ѐ-ӿ]"), "ko": re.compile("[가-힣]"), "el": re.compile("[Ͱ-Ͽ]"), "ar": re.compile("[؀-ۿ]"), "he": re.compile("[֐-׿]"), "hi": re.compile("[ऀ-ॿ]"), "th": re.compile("[฀-๿]")}
 # Function words by language, for telling languages apart.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for on with as are this be by not or from which but have has an at its does only while how what when so than nor neither",
@@ -97,6 +102,11 @@ _REFUSALS = [
     r"\b(?:ik kan|ik mag|het spijt)\b[^.!?]{0,40}\b(?:niet|geen)\b",
     # Russian, Chinese
     r"(?:я|мы|мне)\s[^.!?]{0,20}не\s(?:могу|можем|буду|вправе|имею|готов\w*|разрешено|положено)|не могу\b[^.!?]{0,40}(?:оцен|ответ|выполн|помо|суд)|(?:извините|простите|к сожалению|прошу прощения)[^.!?]{0,60}\bне\b|запрос\w*[^.!?]{0,30}(?:отклон|не\s)|отказыва\w+|отказаться",
+    # leaving it to others: one who speaks, a preference, and the act of handing on
+    r"\b(?:i|we)\b[^.!?]{0,20}\b(?:rather|prefer|choose|have) (?:to |not to )?(?:leave|hand|pass|skip|defer|abstain)\b",
+    r"\b(?:überlass\w*|enthalt\w*)\b[^.!?]{0,20}\b(?:ich|wir|mich|uns)\b|\b(?:ich|wir)\b[^.!?]{0,20}\b(?:überlass\w*|enthalt\w*)\b",
+    # Japanese
+    r"(?:できません|できかね|いたしかね|お断り|お答え(?:でき|し)|控えさせ|差し控え)",
     r"(?:抱歉|对不起|很遗憾|无法(?:回答|评|判|提供|处理|完成|协助)|不能(?:回答|评|判|提供|处理|完成|协助)|(?:必须|只能)?拒绝|不便(?:回答|评|判))",
 ]
 _REFUSAL = [re.compile(p, re.IGNORECASE | re.UNICODE) for p in _REFUSALS]
@@ -104,13 +114,36 @@ _REFUSAL = [re.compile(p, re.IGNORECASE | re.UNICODE) for p in _REFUSALS]
 _FINDING = re.compile(r"\b(?:can(?:no|')?t|can ?not|could not|unable to|do(?:es)? not)\s+(?:find|see|locate|verify|confirm|support|reproduce|establish|show|describe|mention|depend|state|say|explain)\b", re.IGNORECASE)
 
 
+_TAG = re.compile(r"<(/?)([A-Za-z_][\w-]*)[^<>]*>")
+_BULLET = re.compile(r"(?m)^\s*(?:[-*•]|\d+[.)])\s+(?=(?:reason|supports?|answers?|verdict|quote_supports_claim|answers_aspect)\b)", re.IGNORECASE)
+
+
+def without_markup(text: str) -> str:
+    """What a free answer says: the words of its reason tag where it has one, else all words, tags and list marks of its
+    fields off. Tags are kept on a stack; a closer ends the last tag of its name and what was left open in it."""
+    stack: list[str] = []
+    said, reason, upto = [], None, 0
+    for m in _TAG.finditer(text):
+        (reason if reason is not None and "reason" in stack else said).append(text[upto : m.start()])
+        upto, name = m.end(), m.group(2).lower()
+        if not m.group(1):
+            stack.append(name)
+            if name == "reason":
+                reason = []
+        elif name in stack:
+            del stack[len(stack) - 1 - stack[::-1].index(name) :]
+    (reason if reason is not None and "reason" in stack else said).append(text[upto:])
+    body = "".join(reason) if reason is not None else " ".join(said) if upto else text
+    return _BULLET.sub("", body).strip().strip('"').strip()
+
+
 def parse_answer(raw: str) -> dict:
     """What an answer holds: ``reason`` (None if it has none), ``verdict`` flag, ``closed`` (the reason's own quotation
     was ended), ``open`` (a JSON object was begun and its reason not reached)."""
     text = re.sub(r"^\s*`{3}\w*\s*|\s*`{3}\s*$", "", raw)
     at = text.find("{")
     if at < 0:
-        body = text.strip().strip('"').strip()
+        body = without_markup(text)
         if _EMPTY.match(text) or body.lower() in ("null", "none", "n/a"):
             return {"reason": None, "verdict": False, "closed": False, "open": False, "json": False}
         changed, verdict = True, False
@@ -128,8 +161,8 @@ def parse_answer(raw: str) -> dict:
         c = text[i]
         if c in _PAIR:
             stack.append(_PAIR[c])
-        elif stack and c == stack[-1]:
-            stack.pop()
+        elif stack and c in stack:  # a closer ends its own bracket and those left open inside
+            del stack[len(stack) - 1 - stack[::-1].index(c) :]
             if not stack:
                 break
         elif c == '"':
@@ -162,18 +195,20 @@ def parse_answer(raw: str) -> dict:
     return {"reason": reason or None, "verdict": verdict, "closed": closed, "open": unfinished and reason is None, "json": True}
 
 
+@lru_cache(maxsize=4096)
 def language_of(text: str) -> str | None:
     """Language by script and function words, quoted words aside; None where too little speaks for one."""
     plain = re.sub(r"«[^»]*»|“[^”]*”|\"[^\"]*\"|‘[^’]*’|「[^」]*」", " ", text)
-    letters = [c for c in plain if c.isalpha()]
-    if not letters:
-        return None
-    han = sum("一" <= c <= "鿿" for c in letters)
-    cyrillic = sum("Ѐ" <= c <= "ӿ" for c in letters)
-    if han * 4 > len(letters):
-        return "zh"
-    if cyrillic * 2 > len(letters):
-        return "ru"
+    if not plain.isascii():
+        letters = "".join(c for c in plain if c.isalpha())
+        kana, han = len(_KANA.findall(letters)), len(_HAN.findall(letters))
+        if kana and (kana + han) * 4 > len(letters):
+            return "ja"
+        if han * 4 > len(letters):
+            return "zh"
+        for language, script in _SCRIPTS.items():
+            if len(script.findall(letters)) * 2 > len(letters):
+                return language
     score: dict[str, float] = {}
     for w in _WORDS.findall(plain.lower()):
         for k in _LEXICON.get(w, ()):
@@ -185,38 +220,54 @@ def language_of(text: str) -> str | None:
 
 
 def tiled_share(answer: list[str], prompt: list[str], min_tile: int = MIN_TILE) -> float:
-    """Share of the answer's words covered by common runs with the prompt, longest first, no word used twice."""
-    if not answer:
+    """Share of the answer's words covered by common runs with the prompt, the longest free one each time, no word used
+    twice. Equal runs go to the earlier place. What is left free of a run that another one cut waits for its own turn."""
+    if len(answer) < min_tile or len(prompt) < min_tile:
         return 0.0
     starts: dict[tuple, list[int]] = {}
-    for j in range(len(prompt) - min_tile + 1):
-        starts.setdefault(tuple(prompt[j : j + min_tile]), []).append(j)
-    runs = []
-    for i in range(len(answer) - min_tile + 1):
-        for j in starts.get(tuple(answer[i : i + min_tile]), ()):
+    for j, gram in enumerate(zip(*(prompt[k:] for k in range(min_tile)))):
+        starts.setdefault(gram, []).append(j)
+    heap: list[tuple[int, int, int]] = []
+    for i, gram in enumerate(zip(*(answer[k:] for k in range(min_tile)))):
+        for j in starts.get(gram, ()):
             if i and j and answer[i - 1] == prompt[j - 1]:
                 continue
             k = min_tile
             while i + k < len(answer) and j + k < len(prompt) and answer[i + k] == prompt[j + k]:
                 k += 1
-            runs.append((-k, i, j))
+            heap.append((-k, i, j))
+    heapify(heap)
     used_a, used_p = [False] * len(answer), [False] * len(prompt)
-    for k, i, j in sorted(runs):
-        length, start = 0, 0
-        for x in range(-k + 1):  # the parts of the run that are still free
-            free = x < -k and not used_a[i + x] and not used_p[j + x]
-            if free:
-                length += 1
-            elif length:
-                if length >= min_tile:
-                    for y in range(start, start + length):
-                        used_a[i + y] = used_p[j + y] = True
-                length = 0
-            if not free:
-                start = x + 1
+    while heap:
+        k, i, j = heappop(heap)
+        free = [not used_a[i + x] and not used_p[j + x] for x in range(-k)]
+        if all(free):
+            for x in range(-k):
+                used_a[i + x] = used_p[j + x] = True
+            continue
+        x = 0
+        while x < -k:
+            y = x
+            while y < -k and free[y]:
+                y += 1
+            if y - x >= min_tile:
+                heappush(heap, (x - y, i + x, j + x))
+            x = y + 1
     return sum(used_a) / len(answer)
 
 
+def may_be_copied(answer: list[str], prompt: list[str], share: float = COPY_SHARE, min_tile: int = MIN_TILE) -> bool:
+    """False where even all runs of ``min_tile`` words that stand in the prompt cover too little of the answer: tiles are
+    made of them, so that nothing :func:`tiled_share` would find is passed over."""
+    grams = set(zip(*(prompt[k:] for k in range(min_tile))))
+    covered, upto = 0, 0
+    for i, gram in enumerate(zip(*(answer[k:] for k in range(min_tile)))):
+        if gram in grams:
+            covered += i + min_tile - max(i, upto)
+            upto = i + min_tile
+    return bool(answer) and covered >= share * len(answer)
+
+
 def is_refusal(text: str) -> bool:
     plain = re.sub(r"«[^»]*»|“[^”]*”|\"[^\"]*\"", " ", text)
     return any(p.search(_FINDING.sub(" ", plain)) for p in _REFUSAL)
@@ -248,7 +299,8 @@ def inspect(raw: str | None, prompt: str | None) -> tuple[str | None, str, str]:
         return ("truncated" if p["open"] and re.search(r'"\w', raw) else "empty"), "done", ""
     if reason is None:
         return ("truncated" if p["open"] else None), "done", ""
-    if tiled_share(_WORDS.findall(reason.casefold()), _WORDS.findall(prompt.casefold())) >= COPY_SHARE:
+    said, given = _WORDS.findall(reason.casefold()), _WORDS.findall(prompt.casefold())
+    if may_be_copied(said, given) and tiled_share(said, given) >= COPY_SHARE:
         return "copied", "done", reason
     if is_refusal(reason):
         return "refusal", "done", reason

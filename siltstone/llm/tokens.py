@@ -24,14 +24,18 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     return loaded[path]
 
 
+def _tiktoken(path: str):
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def _load(path: str) -> Callable[[list[str]], list[list[int]]]:
     if path.endswith(".tiktoken"):
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        own = _tiktoken(path)
         return lambda texts: [own.encode_ordinary(t) for t in texts]
     if path.endswith(".json"):
         from tokenizers import Tokenizer
@@ -45,6 +49,24 @@ def _load(path: str) -> Callable[[list[str]], list[list[int]]]:
     return lambda texts: pieces.encode(texts, num_threads=1)
 
 
+def token_offsets(path: str) -> Callable[[str], list[int]]:
+    """Function from a text to the sorted code-point offsets at which its tokens begin, of a ``.tiktoken`` or ``.json``
+    file. Tokens of less than a letter (bytes of it) begin where the letter does."""
+    loaded = sys.__dict__.setdefault("_siltstone_offsets", {})
+    if path not in loaded:
+        if path.endswith(".tiktoken"):
+            own = _tiktoken(path)
+            loaded[path] = lambda text: own.decode_with_offsets(own.encode_ordinary(text))[1]
+        elif path.endswith(".json"):
+            from tokenizers import Tokenizer
+
+            fast = Tokenizer.from_file(path)
+            loaded[path] = lambda text: sorted(a for a, _ in fast.encode(text, add_special_tokens=False).offsets)
+        else:
+            raise ValueError("token offsets need a .tiktoken or .json tokenizer")
+    return loaded[path]
+
+
 def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``docs`` without its text, with ``tokens``, the text's length in tokens. Null texts are left out, empty ones have
     none. Only the text and the other columns given are sent to Python; counting needs no shuffle."""

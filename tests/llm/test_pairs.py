@@ -27,7 +27,10 @@ def full(reason, end='"}'):
         ("Request denied. Evaluation of such passages is not offered.", "refusal"), ("No judgement will be given for this content.", "refusal"),
         ("I'd rather not rate the pair you sent; kindly rephrase the task.", "refusal"), ("Ich muss es ablehnen, diesen Inhalt zu beurteilen.", "refusal"),
         ("Je dois refuser de juger cet élément.", "refusal"), ("Debo negarme a juzgar este elemento.", "refusal"), ("К сожалению, я не могу оценить этот фрагмент.", "refusal"), ("抱歉，我无法评价这一内容。", "refusal"),
-        (PROMPT, "copied"), (PROMPT.lower().replace("\n", " "), "copied"), (full("THE COST OF EXPERTS DOES NOT DEPEND ON THE SIZE OF THE TAX GUIDANCE !"), "copied"),
+        ("I am sorry, but this is something I would rather leave to someone else", "refusal"), ("Das überlasse ich lieber anderen.", "refusal"), ("申し訳ありませんが、この項目は判断できません。", "refusal"),
+        ("<verdict><supports>no</supports><reason>The quote gives no number at all.</reason></verdict>", None), ("<verdict><reason>The quote says that the", "truncated"),
+        ("- supports: no\n- answers: yes\n- reason: The quote gives no number at all.", None), ('{"quote_supports_claim": ["no"}, "reason": "The quote gives no number at all."', None),
+        (full("引用はその方法の働きを説明していない。"), "other_language"), (PROMPT, "copied"), (PROMPT.lower().replace("\n", " "), "copied"), (full("THE COST OF EXPERTS DOES NOT DEPEND ON THE SIZE OF THE TAX GUIDANCE !"), "copied"),
         (full('The claim that \\"The cost of experts does not depend on the size of the tax guidance\\" goes further than the passage.'), None),
         (full("Rien dans la citation n'explique le fonctionnement de la méthode."), "other_language"), (full("引文没有说明该方法如何运作。"), "other_language"),
         (full("Only the French term « preuve » is missing; the claim is supported by the quote."), None),
@@ -45,6 +48,11 @@ def test_same_language_is_no_defect():
 
 def test_tiling_uses_no_word_twice():
     assert pairs.tiled_share("a b c a b c".split(), "a b c".split()) == 0.5
+    # the longest free run each time: d e f g goes first, a b c d e is left with a b c
+    assert pairs.tiled_share("a b c d e f g h i".split(), "d e f g h i x a b c d e".split()) == 1.0
+    answer, prompt = "u a b c d e v".split(), "a b c x c d e a b c d".split()
+    assert pairs.tiled_share(answer, prompt) == 4 / 7
+    assert not pairs.may_be_copied(answer, prompt) and pairs.may_be_copied("a b c d".split(), prompt)
     assert pairs.tiled_share([], ["a"]) == 0.0 and pairs.tiled_share("x y z".split(), []) == 0.0
 
 

@@ -25,7 +25,30 @@ def test_cuts_stand_at_boundaries_and_not_after_abbreviations():
 
 
 def test_text_without_any_boundary_is_cut_hard():
-    assert split_offsets("x" * 4500, 2000, 150) == [(0, 2000), (2000, 4000), (4000, 4500)]
+    assert split_offsets("x" * 4500, 2000, 150) == [(0, 2000), (1850, 3850), (3700, 4500)]
+    assert split_offsets("x" * 4500, 2000, 0) == [(0, 2000), (2000, 4000), (4000, 4500)]
+
+
+def test_hard_cuts_part_no_letter_from_its_marks():
+    text = "e\u0301\u0302" * 1500
+    spans = split_offsets(text, 2000, 150)
+    assert all(a % 3 == 0 and b % 3 == 0 and b - a <= 2000 for a, b in spans) and len(spans) == 3
+
+
+def test_every_border_is_shared_and_token_limits_hold(spark, tiny):
+    for r in splitting.p3_pieces(spark, tiny).orderBy("item_kind", "item_key", "item_no", "piece_no").collect():
+        assert 0 < len(r.piece) <= 2000 and (r.piece_no == 0 or 1 <= last.stop - r.start <= 150)
+        last = r
+    from siltstone.llm.tokens import TOKENIZER, token_offsets
+
+    offsets = token_offsets(TOKENIZER)
+    text = ("Überlange Wörter und 漢字, dann noch ein Satz. " * 40) + "y" * 3000
+    starts = offsets(text)
+    spans = split_offsets(text, 100, 10, starts)
+    for (a, b), (c, _) in zip(spans, spans[1:]):
+        assert sum(a <= s < b for s in starts) <= 100 and a < c < b and sum(c <= s < b for s in starts) <= 10
+    assert spans[0][0] == 0 and spans[-1][1] == len(text)
+    assert splitting.p3_token_pieces(spark, tiny).where("n_pieces < 2 or length(piece) <> stop - start").count() == 0
 
 
 def test_paragraphs_are_preferred():
