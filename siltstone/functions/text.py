@@ -72,6 +72,12 @@ def quote_norm(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r" ([.,;:!?)])", "$1"))
 
 
+def elision_pieces(quote: Column, least: int = 20) -> Column:
+    """The pieces between the ellipses of a quote, each normalised, those of ``least`` characters or more."""
+    parts = F.split(quote, r"\[(?:\.\.\.|…)\]|\.\.\.|…")
+    return F.filter(F.transform(parts, quote_norm), lambda p: F.length(p) >= least)
+
+
 def mask(text: Column) -> Column:
     """Text with addresses, hexadecimal ids, quoted parts and numbers masked, for grouping messages of one kind."""
     t = F.regexp_replace(text, r"https?://[^ ]+", "<url>")

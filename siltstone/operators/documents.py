@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import let
 
-_HEADING = re.compile(r"^(#{1,6})\s+(.*\S)\s*$")
 _NUMBERED = re.compile(r"^(\d+(?:\.\d+)*)\.?\s+([A-Z].{2,80})$")
 MIN_SECTION, MIN_REFERENCE = 60, 25
 
 
+def _marked(line: str) -> tuple[int, str] | None:
+    """Level and words of a heading line that begins with one to six hashes and a space."""
+    words = line.lstrip("#")
+    level = len(line) - len(words)
+    return (level, words.strip()) if 1 <= level <= 6 and words[:1].isspace() and words.strip() else None
+
+
 def parse_markdown(text: str) -> dict:
     """Title, sections (heading, text, level), and reference lines of a converted document.
 
@@ -36,14 +42,14 @@ def parse_markdown(text: str) -> dict:
                 sections.append({"heading": heading, "text": body, "level": level})
 
     for line in text.split("\n"):
-        marked, numbered = _HEADING.match(line), _NUMBERED.match(line)
-        if marked and title is None and len(marked.group(1)) == 1:
-            title = marked.group(2)
+        marked, numbered = _marked(line), _NUMBERED.match(line)
+        if marked and title is None and marked[0] == 1:
+            title = marked[1]
             continue
         if marked or numbered:
             close()
-            heading = marked.group(2) if marked else numbered.group(2)
-            level = len(marked.group(1)) if marked else numbered.group(1).count(".") + 1
+            heading = marked[1] if marked else numbered.group(2)
+            level = marked[0] if marked else numbered.group(1).count(".") + 1
             lines = []
         else:
             lines.append(line)
@@ -98,7 +104,8 @@ def partial_ratio(needle: str, text: str, floor: float = 0.0) -> float:
 
 def verify_quotes(pairs: DataFrame, keys: list[str], quote: str, text: str, least: float = 92.0) -> DataFrame:
     """Best score of each quote over its texts, and whether it holds: equal stretch, or similarity of 92 or more. Quotes
-    under 20 characters fail. ``pairs`` are already blocked (a quote with the passages of its source)."""
+    under 20 characters fail, and so do those without a text, at score 0. ``pairs`` are already blocked (a quote with the
+    passages of its source)."""
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,17 +188,18 @@ def keep_first_distinct(df: DataFrame, scope: list[str], order: str, words: str,
     return df.groupBy(*scope).applyInPandas(run, df.schema)
 
 
-def balanced_assignment(pairs: DataFrame, scope: list[str], item: str, target: str, score: str, cap: int) -> DataFrame:
-    """Greedy assignment of items to targets by falling score, each item once, each target ``cap`` items at most; ties by
-    item and target. Sequential within a scope (one question's queries)."""
+def balanced_assignment(pairs: DataFrame, scope: list[str], item: str, target: str, score: str, cap: int | None = None) -> DataFrame:
+    """Greedy assignment of items to targets by falling score, each item once, each target ``cap`` items at most (its even
+    share, rounded up, by default); ties by item and target. Sequential within a scope (one question's queries)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        most = cap if cap is not None else -(-pdf[item].nunique() // max(1, pdf[target].nunique()))
         load: dict = {}
         done: set = set()
         chosen = []
         for row in pdf.sort_values([score, item, target], ascending=[False, True, True]).itertuples():
             i, t = getattr(row, item), getattr(row, target)
-            if i not in done and load.get(t, 0) < cap:
+            if i not in done and load.get(t, 0) < most:
                 done.add(i)
                 load[t] = load.get(t, 0) + 1
                 chosen.append(row.Index)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import evidence, more, relational, streams, texts, views
+from siltstone.plans import evidence, findings, more, relational, replies, second_search, streams, texts, views
 
-_ALL = relational.QUERIES | texts.QUERIES | evidence.QUERIES | more.QUERIES | views.QUERIES | streams.QUERIES
+_ALL = relational.QUERIES | texts.QUERIES | evidence.QUERIES | more.QUERIES | views.QUERIES | findings.QUERIES | replies.QUERIES | second_search.QUERIES | streams.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,8 @@ def snapshot_difference(s: SparkSession, d: str) -> DataFrame:
 
 def latency_stats(s: SparkSession, d: str) -> DataFrame:
     v = T(s, d, "judge_verdicts").where("latency_s is not null")
-    return v.groupBy("model").agg(F.round(F.avg("latency_s"), 6).alias("mean"), F.round(F.median("latency_s"), 6).alias("median"), V.exact_p95(F.col("latency_s")).alias("p95"), F.max("latency_s").alias("max"))
+    g = v.groupBy("model").agg(F.round(F.avg("latency_s"), 6).alias("mean"), F.round(F.median("latency_s"), 6).alias("median"), F.max("latency_s").alias("max"))
+    return g.join(V.exact_quantile(v, ["model"], "latency_s", 0.95, "p95"), "model")
 
 
 def windows_per_day(s: SparkSession, d: str) -> DataFrame:
@@ -247,7 +248,7 @@ QUERIES = {
     "threshold_sweep": (threshold_sweep, f"SELECT threshold, tp, fp, fn, tn, round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM (SELECT threshold, {_PRF} FROM (SELECT threshold, judge_relevant AS t, relevance_score >= threshold AS s FROM (SELECT x / 100.0::DOUBLE AS threshold FROM range(50, 100, 5) q(x)), (SELECT judge_relevant, relevance_score {_REL})) GROUP BY threshold)"),
     "brier_by_source": (brier_by_source, "SELECT source, round(avg(power(CASE WHEN judge_relevant THEN judge_confidence ELSE 1 - judge_confidence END - CASE WHEN relevance_score >= 0.6 THEN 1 ELSE 0 END, 2)), 6) AS brier, count(*) AS n FROM retrieved_papers WHERE judge_relevant IS NOT NULL AND judge_confidence IS NOT NULL AND relevance_score IS NOT NULL GROUP BY source"),
     "annotator_kappa": (annotator_kappa, "WITH j AS (SELECT judge_final AS a, verdict_final AS b FROM judge_verdicts JOIN tag_audit USING (row_id) WHERE verdict_final IN ('yes', 'no', 'partial') AND judge_final IS NOT NULL), n AS (SELECT count(*) AS n, count(*) FILTER (WHERE a = b) / count(*) AS o FROM j), e AS (SELECT sum(x.n * y.n) AS e FROM (SELECT a, count(*) AS n FROM j GROUP BY a) x JOIN (SELECT b, count(*) AS n FROM j GROUP BY b) y ON x.a = y.b) SELECT n, round(o, 6) AS agreement, round((o - e / n / n) / (1 - e / n / n), 6) AS kappa FROM n, e"),
-    "mcnemar_models": (mcnemar_models, None),
+    "mcnemar_models": (mcnemar_models, "WITH j AS (SELECT (relevance_score >= 0.6) = judge_relevant AS a, (combined_score >= 0.6) = judge_relevant AS b FROM retrieved_papers WHERE judge_relevant IS NOT NULL AND relevance_score IS NOT NULL AND combined_score IS NOT NULL), n AS (SELECT count(*) FILTER (WHERE a AND NOT b) AS x, count(*) FILTER (WHERE b AND NOT a) AS y FROM j), t AS (SELECT sum(exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2))) AS p FROM n, (SELECT unnest(range(0, (SELECT least(x, y) + 1 FROM n))) AS i)) SELECT x AS only_a, y AS only_b, round(least(1, 2 * p), 9) AS p_value FROM n, t"),
     "bootstrap_interval": (bootstrap_interval, None),
     "stratified_sample": (stratified_sample, "WITH a AS (SELECT row_id, kind, judge_final, source_id, md5('11:' || row_id) AS h FROM tag_audit WHERE source_id IS NOT NULL), f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY h) <= 2) SELECT row_id, kind, judge_final FROM f QUALIFY row_number() OVER (PARTITION BY kind, judge_final ORDER BY h) <= 5"),
     "accuracy_by_bucket": (accuracy_by_bucket, f"SELECT CAST(floor(relevance_score * 10) AS BIGINT) AS bucket, source, count(*) AS n, round(avg(CASE WHEN (relevance_score >= 0.6) = judge_relevant THEN 1.0 ELSE 0.0 END), 6) AS accuracy {_REL} GROUP BY ALL"),

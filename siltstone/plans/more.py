@@ -210,10 +210,12 @@ def context_windows(s: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_quotes(s: SparkSession, d: str) -> DataFrame:
-    """Quotes against all passages of their source, by equality or partial similarity (no SQL twin)."""
-    q = T(s, d, "tag_audit").where("quote is not null").select("row_id", "source_id", X.quote_norm(F.col("quote")).alias("q"))
+    """Quotes against all passages of their source, by equality or partial similarity (no SQL twin). Every piece between
+    ellipses must hold, the worst one's score is the quote's; quotes without passages or pieces have score 0."""
+    q = T(s, d, "tag_audit").where("quote is not null").select("row_id", "source_id", F.posexplode_outer(X.elision_pieces(F.col("quote"))).alias("no", "q"))
     c = T(s, d, "chunk_lookup").select("source_id", X.quote_norm(F.col("text")).alias("t"))
-    return D.verify_quotes(q.join(c, "source_id"), ["row_id"], "q", "t").select("row_id", F.round("score", 3).alias("score"), "verified")
+    scored = D.verify_quotes(q.select("row_id", F.coalesce("no", F.lit(0)).alias("no"), "source_id", "q").join(c, "source_id", "left"), ["row_id", "no"], "q", "t")
+    return scored.groupBy("row_id").agg(F.round(F.min("score"), 3).alias("score"), F.bool_and("verified").alias("verified"))
 
 
 def markdown_sections(s: SparkSession, d: str) -> DataFrame:
@@ -234,9 +236,12 @@ def distinct_claims(s: SparkSession, d: str) -> DataFrame:
 
 
 def balanced_queries(s: SparkSession, d: str) -> DataFrame:
-    """Claims assigned to the aspects of their sub-question, ten each at most (no SQL twin)."""
-    a = T(s, d, "tag_audit").where("similarity is not null and sub_question_id is not null").select("sub_question_id", "row_id", "aspect_text", "similarity")
-    return D.balanced_assignment(a, ["sub_question_id"], "row_id", "aspect_text", "similarity", 10).select("sub_question_id", "row_id", "aspect_text")
+    """Claims assigned to the detail questions of their sub-question by the words they share, to each its even share at
+    most (no SQL twin)."""
+    a = T(s, d, "tag_audit").where("claim is not null and sub_question_id is not null").select("sub_question_id", "row_id", X.content_words(F.col("claim")).alias("w"))
+    q = T(s, d, "sub_questions").select(F.col("id").alias("sub_question_id"), F.explode("detail_questions").alias("aspect_text")).withColumn("x", X.content_words(F.col("aspect_text")))
+    p = a.join(q, "sub_question_id").select("sub_question_id", "row_id", "aspect_text", X.jaccard(F.col("w"), F.col("x")).alias("score"))
+    return D.balanced_assignment(p, ["sub_question_id"], "row_id", "aspect_text", "score").select("sub_question_id", "row_id", "aspect_text")
 
 
 def strength_bands(s: SparkSession, d: str) -> DataFrame:
@@ -314,7 +319,7 @@ def model_agreement(s: SparkSession, d: str) -> DataFrame:
 
 
 def seeded_split(s: SparkSession, d: str) -> DataFrame:
-    """Train, validation and test rows by a seeded hash (no SQL twin: the hash is Spark's)."""
+    """Train, validation and test rows by a seeded hash."""
     return split_rows(T(s, d, "sub_questions").select("id"), "id", 7, {"train": 0.9, "validation": 0.05, "test": 0.05})
 
 
@@ -371,5 +376,5 @@ QUERIES = {
     "cascade": (cascade, f"SELECT source, round(avg(CASE WHEN x >= 0.75 OR x < 0.45 THEN 0.0 ELSE 1.0 END), 6) AS asked, round(avg(CASE WHEN (CASE WHEN x >= 0.75 THEN true WHEN x < 0.45 THEN false ELSE y END) = y THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM (SELECT source, relevance_score AS x, judge_relevant AS y {_REL}) GROUP BY source"),
     "folds": (folds, f"WITH g AS (SELECT CAST('0x' || left(md5(id), 6) AS BIGINT) % 5 AS fold, CAST(floor(relevance_score * 20) AS BIGINT) AS b, count(*) FILTER (WHERE judge_relevant) AS p, count(*) FILTER (WHERE NOT judge_relevant) AS n {_REL} GROUP BY ALL), s AS (SELECT fold, cut, sum(CASE WHEN b >= cut THEN p ELSE n END) AS r, sum(p + n) AS k FROM g, (SELECT DISTINCT b AS cut FROM g) GROUP BY ALL), t AS (SELECT *, sum(r) OVER (PARTITION BY cut) - r AS train FROM s) SELECT fold, cut, round(r / k, 6) AS accuracy FROM t QUALIFY row_number() OVER (PARTITION BY fold ORDER BY train DESC, cut) = 1"),
     "model_agreement": (model_agreement, "WITH v AS (SELECT row_id, attempt, min(verdict_final) AS f FROM judge_verdicts WHERE verdict_final IN ('yes', 'no', 'partial') GROUP BY ALL) SELECT b.attempt, count(*) AS n, count(*) FILTER (WHERE a.f = b.f) AS same, count(*) FILTER (WHERE a.f = 'yes' AND b.f <> 'yes') AS lost, count(*) FILTER (WHERE a.f <> 'yes' AND b.f = 'yes') AS gained FROM v a JOIN v b ON a.row_id = b.row_id AND a.attempt = 1 AND b.attempt > 1 GROUP BY b.attempt"),
-    "seeded_split": (seeded_split, None),
+    "seeded_split": (seeded_split, "SELECT id, CASE WHEN u < 0.9 THEN 'train' WHEN u < 0.95 THEN 'validation' ELSE 'test' END AS split FROM (SELECT id, CAST('0x' || left(md5('7:' || id), 12) AS BIGINT) / 281474976710656.0 AS u FROM sub_questions)"),
 }

@@ -231,8 +231,11 @@ def first_last_times(s: SparkSession, d: str) -> DataFrame:
 
 
 def pivot_by_source(s: SparkSession, d: str) -> DataFrame:
-    x = T(s, d, "documents").groupBy("evidence_level").pivot("lang", ["en", "de", "fr", "es"]).agg(F.count(F.lit(1)))
-    return x.fillna(0, ["en", "de", "fr", "es"])
+    """Documents of each level by language; unknown and further languages count as other, so that rows add up."""
+    names = ["en", "de", "fr", "es", "ru", "zh"]
+    lang = F.when(F.col("lang").isin(*names), F.col("lang")).otherwise("other")
+    x = T(s, d, "documents").select("evidence_level", lang.alias("lang")).groupBy("evidence_level").pivot("lang", [*names, "other"]).agg(F.count(F.lit(1)))
+    return x.fillna(0, [*names, "other"])
 
 
 def union_of_searches(s: SparkSession, d: str) -> DataFrame:
@@ -330,7 +333,7 @@ QUERIES = {
     "outcome_tally": (outcome_tally, "SELECT model, verdict_final, count(*) AS n, count(error) AS errors, round(count(error) / count(*), 6) AS error_share, count(DISTINCT prompt) AS prompts FROM judge_verdicts GROUP BY ALL"),
     "relevant_per_question": (relevant_per_question, "SELECT sub_question_id, r AS relevant, n AS judged, CASE WHEN r = 0 THEN 'none' WHEN r = n THEN 'all' ELSE 'some' END AS kind FROM (SELECT sub_question_id, CAST(sum(CASE WHEN judge_relevant THEN 1 ELSE 0 END) AS BIGINT) r, count(*) n FROM retrieved_papers WHERE judge_relevant IS NOT NULL GROUP BY ALL)"),
     "first_last_times": (first_last_times, "SELECT sub_question_id, source, epoch_us(min(created_at)) AS first_us, epoch_us(max(created_at)) AS last_us, count(*) AS n FROM retrieved_papers GROUP BY ALL"),
-    "pivot_by_source": (pivot_by_source, "SELECT evidence_level, " + ", ".join(f"count(*) FILTER (WHERE lang = '{x}') AS {x}" for x in ("en", "de", "fr", "es")) + " FROM documents GROUP BY evidence_level"),
+    "pivot_by_source": (pivot_by_source, "SELECT evidence_level, " + ", ".join(f"count(*) FILTER (WHERE lang = '{x}') AS {x}" for x in ("en", "de", "fr", "es", "ru", "zh")) + ", count(*) FILTER (WHERE lang IS NULL OR lang NOT IN ('en', 'de', 'fr', 'es', 'ru', 'zh')) AS other FROM documents GROUP BY evidence_level"),
     "union_of_searches": (union_of_searches, "SELECT t, count(*) AS n FROM (SELECT lower(title) AS t FROM retrieved_papers UNION ALL SELECT lower(title) FROM report_references) WHERE t IS NOT NULL GROUP BY t"),
     "ids_in_common": (ids_in_common, "WITH a AS (SELECT DISTINCT source_id AS id FROM tag_audit WHERE source_id IS NOT NULL), b AS (SELECT DISTINCT paper_id AS id FROM documents WHERE paper_id IS NOT NULL) SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'documents' WHEN b.id IS NULL THEN 'audit' ELSE 'both' END AS side FROM a FULL JOIN b ON a.id = b.id"),
     "sort_views": (sort_views, "SELECT row_id, row_number() OVER (PARTITION BY sub_question_id ORDER BY CASE judge_final WHEN 'no' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END, similarity DESC NULLS LAST, row_id) AS place FROM tag_audit"),

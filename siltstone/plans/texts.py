@@ -223,7 +223,7 @@ QUERIES = {
     "verdict_keys": (verdict_keys, "SELECT row_id, left(sha256(claim), 16) AS claim_key FROM tag_audit WHERE claim IS NOT NULL"),
     "content_word_sets": (content_word_sets, f"SELECT id, array_to_string({_content('main_topic')}, ' ') AS content FROM sub_questions"),
     "topics_distinct": (topics_distinct, f"SELECT content, min(id) AS first_id, count(*) AS topics, CAST(sum(n) AS BIGINT) AS details FROM (SELECT id, array_to_string({_content('main_topic')}, ' ') AS content, len(detail_questions) AS n FROM sub_questions) GROUP BY content"),
-    "or_queries": (or_queries, None),
+    "or_queries": (or_queries, f"SELECT DISTINCT id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' OR ') AS query FROM (SELECT id, list_filter({_words('q')}, lambda w: w NOT IN ({_STOP})) AS w FROM (SELECT id, unnest(detail_questions) AS q FROM sub_questions))"),
     "domains": (domains, "SELECT domain, count(*) AS n FROM (SELECT nullif(regexp_replace(lower(regexp_extract(pdf_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)), '^www\\.', ''), '') AS domain FROM retrieved_papers) WHERE domain IS NOT NULL GROUP BY domain"),
     "years": (years, "SELECT CAST(nullif(regexp_extract(published_date, '(?:^|[^0-9])((?:18|19|20)[0-9]{2})(?:[^0-9]|$)', 1), '') AS BIGINT) AS y, count(*) AS n FROM retrieved_papers GROUP BY 1"),
     "word_counts": (word_counts, f"SELECT doc_id, len({_PARTS}) AS n_words, length(text) AS n_chars FROM documents"),
@@ -243,7 +243,7 @@ QUERIES = {
     "bm25_passages": (bm25_passages, f"WITH d AS (SELECT chunk_key, {_words('text')} AS w FROM chunk_lookup), n AS (SELECT count(*) AS n, avg(len(w)) AS m FROM d), q AS (SELECT DISTINCT id, unnest({_words('main_topic')}) AS t FROM sub_questions), t AS (SELECT chunk_key, l, t, count(*) AS tf FROM (SELECT chunk_key, len(w) AS l, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL), f AS (SELECT t, count(*) AS df FROM t GROUP BY t), s AS (SELECT id, chunk_key, round(sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / n.m))), 6) AS score FROM q JOIN t USING (t) JOIN f USING (t), n GROUP BY ALL) SELECT id, chunk_key, score FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, chunk_key) <= 5"),
     "word_weights": (word_weights, f"WITH q AS (SELECT DISTINCT id, unnest({_words('main_topic')}) AS w FROM sub_questions) SELECT w, count(*) AS df, round(1 - count(*) / (SELECT count(*) FROM sub_questions), 6) AS weight FROM q GROUP BY w"),
     "section_relevance": (section_relevance, f"SELECT id, no - 1 AS no, round(CASE WHEN len(t) > 0 THEN sh / len(t) ELSE 0 END + 0.15 * sh, 6) AS relevance FROM (SELECT id, no, t, len(list_intersect(t, {_content('coalesce(x.text, chr(32))')})) AS sh FROM (SELECT id, {_content('title')} AS t, unnest(sections) AS x, generate_subscripts(sections, 1) AS no FROM parsed_papers))"),
-    "title_jaccard": (title_jaccard, f"WITH r AS (SELECT reference_id, {_words('title')} AS a FROM report_references WHERE title IS NOT NULL), p AS (SELECT id, {_words('title')} AS b FROM parsed_papers WHERE title IS NOT NULL) SELECT * FROM (SELECT reference_id, id, round(len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM r JOIN p ON array_to_string(a[1:5], ' ') = array_to_string(b[1:5], ' ')) WHERE jaccard >= 0.6"),
+    "title_jaccard": (title_jaccard, f"WITH r AS (SELECT reference_id, list_distinct({_words('title')}) AS a FROM report_references WHERE title IS NOT NULL), p AS (SELECT id, list_distinct({_words('title')}) AS b FROM parsed_papers WHERE title IS NOT NULL), c AS (SELECT reference_id, id, len(a) AS la, len(b) AS lb, count(*) AS k FROM (SELECT reference_id, a, unnest(a) AS w FROM r) JOIN (SELECT id, b, unnest(b) AS w FROM p) USING (w) GROUP BY ALL) SELECT reference_id, id, round(k / (la + lb - k), 6) AS jaccard FROM c WHERE round(k / (la + lb - k), 6) >= 0.6"),
     "cosine_top_k": (cosine_top_k, "SELECT query, neighbour, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) AS place FROM (SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) QUALIFY place <= 10"),
     "cosine_floor_then_k": (cosine_floor_then_k, "SELECT query, neighbour, similarity FROM (SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE similarity >= 0.25 QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) <= 20"),
     "argmax_assignment": (argmax_assignment, "WITH c AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY label), s AS (SELECT vec_id, c.label, round(list_dot_product(embedding::DOUBLE[], c.c), 6) AS s FROM embeddings, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS n, lead(s) OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS s2 FROM s) SELECT vec_id, CAST(label AS BIGINT) AS assigned, coalesce(s - s2 <= 0.05, false) AS near_tie FROM r WHERE n = 1"),

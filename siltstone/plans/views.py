@@ -228,13 +228,13 @@ QUERIES = {
     "wait_intervals": (wait_intervals, "SELECT sub_question_id, greatest(0, max(b) - max(a)) AS wait_us FROM tag_audit JOIN (SELECT row_id, max(epoch_us(labeled_at)) AS a FROM tag_audit_labels GROUP BY row_id) USING (row_id) JOIN (SELECT row_id, min(epoch_us(created_at)) AS b FROM judge_verdicts GROUP BY row_id) USING (row_id) WHERE sub_question_id IS NOT NULL GROUP BY sub_question_id"),
     "nth_matching": (nth_matching, "WITH n AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events WHERE event_type IN ('error', 'purchase')) SELECT a.user_id, a.n, a.event_id AS error, b.event_id AS purchase FROM n a JOIN n b ON a.user_id = b.user_id AND a.n = b.n AND a.event_type = 'error' AND b.event_type = 'purchase'"),
     "other_label_neighbours": (other_label_neighbours, "SELECT query, neighbour, similarity FROM (SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label <> b.label WHERE a.vec_id % 100 = 0) QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) = 1"),
-    "fuzzy_titles": (fuzzy_titles, f"WITH r AS (SELECT reference_id, {_TITLE} AS a FROM report_references WHERE title IS NOT NULL), p AS (SELECT DISTINCT {_TITLE} AS b FROM retrieved_papers WHERE title IS NOT NULL) SELECT reference_id, count(*) AS titles, min(b) AS first_title FROM r JOIN p ON array_to_string(string_split(a, ' ')[1:3], ' ') = array_to_string(string_split(b, ' ')[1:3], ' ') WHERE 30 * levenshtein(a, b) <= greatest(length(a), length(b)) GROUP BY reference_id"),
+    "fuzzy_titles": (fuzzy_titles, f"WITH r AS (SELECT reference_id, {_TITLE} AS a FROM report_references WHERE title IS NOT NULL), x AS (SELECT DISTINCT a FROM r), p AS (SELECT DISTINCT {_TITLE} AS b FROM retrieved_papers WHERE title IS NOT NULL), m AS (SELECT a, count(*) AS n, min(b) AS f FROM x JOIN p ON 30 * abs(length(a) - length(b)) <= greatest(length(a), length(b)) WHERE 30 * levenshtein(a, b) <= greatest(length(a), length(b)) GROUP BY a) SELECT reference_id, CAST(sum(n) AS BIGINT) AS titles, min(f) AS first_title FROM r JOIN m USING (a) GROUP BY reference_id"),
     "near_misses": (near_misses, "SELECT sub_question_id, aspect_text, CASE WHEN y >= 2 THEN 'covered' WHEN y + p >= 1 THEN 'near_miss' ELSE 'known_gap' END AS kind, n FROM (SELECT sub_question_id, aspect_text, count(*) FILTER (WHERE judge_final = 'yes') AS y, count(*) FILTER (WHERE judge_final = 'partial') AS p, count(*) AS n FROM tag_audit GROUP BY ALL)"),
     "run_totals": (run_totals, f"SELECT query_id, count(*) AS findings, count(quote) AS quotes, count(DISTINCT source_id) AS sources, {_COUNTS} FROM tag_audit GROUP BY query_id"),
     "payload_sums": (payload_sums, "SELECT event_type, 'k' AS key, round(sum(CAST(json_extract(props, '$.k') AS DOUBLE)), 4) AS total, count(*) AS n FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY event_type"),
     "extras_per_aspect": (extras_per_aspect, "SELECT aspect_text, row_id FROM tag_audit WHERE judge_final IS NULL OR judge_final <> 'yes' QUALIFY row_number() OVER (PARTITION BY aspect_text ORDER BY similarity DESC NULLS LAST, row_id) <= 2"),
     "best_wording": (best_wording, f"SELECT aspect_text, row_id FROM (SELECT aspect_text, row_id, similarity, {_content('claim')} AS w FROM tag_audit WHERE claim IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY aspect_text, w ORDER BY similarity DESC NULLS LAST, row_id) = 1"),
-    "percent_figures": (percent_figures, None),
+    "percent_figures": (percent_figures, "SELECT row_id, array_to_string(f[1:6], ' ') AS figures FROM (SELECT row_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS f FROM (SELECT row_id, regexp_extract_all(quote, '[0-9]+(?:\\.[0-9]+)?%') AS w FROM tag_audit WHERE quote IS NOT NULL)) WHERE len(f) > 0"),
     "interleaved_topics": (interleaved_topics, "SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY i, id) AS place, md5(q) AS question FROM (SELECT query_id, id, unnest(detail_questions) AS q, generate_subscripts(detail_questions, 1) AS i FROM sub_questions)"),
     "newest_sub_question": (newest_sub_question, "SELECT query_id, sub_question_id FROM (SELECT query_id, sub_question_id, max(created_at) AS t FROM retrieved_papers GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY t DESC, sub_question_id) = 1"),
     "gantt_bars": (gantt_bars, "SELECT user_id, day, a, CASE WHEN day = max(day) OVER (PARTITION BY user_id) THEN (SELECT max(epoch_us(ts)) FROM events) ELSE b END AS b FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events GROUP BY ALL)"),

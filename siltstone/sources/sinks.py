@@ -45,23 +45,27 @@ def counted(log: DataFrame, keys: list[str], time: str, detail: str) -> DataFram
 
 
 def cleaned(df: DataFrame) -> DataFrame:
-    """NUL characters out of strings and arrays of strings; NaN and infinities null."""
-    out: list[Column] = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.StringType):
-            c = strip_nul(c)
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
-            c = F.transform(c, strip_nul)
-        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    """NUL characters out of every string and NaN and infinities null, at any depth of arrays, structs and map values."""
+
+    def clean(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType):
+            return strip_nul(c)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: clean(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(c, lambda _, x: clean(x, kind.valueType))
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[clean(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        return c
+
+    return df.select(*[clean(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def split_rows(df: DataFrame, key: str, seed: int, shares: dict[str, float]) -> DataFrame:
     """Rows with ``split``, by a seeded hash of the key: the same on every run, whatever the partitions."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) / F.lit(float(2**53))
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
     low, out = 0.0, F.lit(list(shares)[-1])
     bounds = []
     for name, share in shares.items():

@@ -143,7 +143,7 @@ def test_statistics(spark):
 def test_event_reducers(spark):
     e = spark.createDataFrame([(1, 1, "a"), (1, 2, "error"), (2, 1, "purchase"), (2, 2, "error"), (3, 1, "a")], "u int, i int, t string")
     assert {r.u: r.state for r in events.run_state(e, ["u"], ["i"], "t", ["purchase"], ["error"]).collect()} == {1: "failed", 2: "completed", 3: "running"}
-    p = spark.createDataFrame([(float(i),) for i in range(21)], "x double").agg(events.exact_p95(F.col("x"))).first()[0]
+    p = events.exact_quantile(spark.createDataFrame([(1, float(i)) for i in range(21)], "k int, x double"), ["k"], "x", 0.95, "p95").first()["p95"]
     assert p == 19.0
 
 
