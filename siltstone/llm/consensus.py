@@ -3,23 +3,24 @@
 A mean-field variational model: every item has a true class, every annotator a confusion matrix with Dirichlet rows.
 Annotators' expected log probabilities (digamma of the posterior counts) are joined to the votes and summed per item;
 the items' class probabilities are joined back and summed per annotator. A round is two joins and two pre-aggregated
-group-bys over the votes; the class prior is one more annotator, who votes on every item.
+group-bys over the votes; the class prior is one row of counts over all items, added to every item's scores as such.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.session import materialize
+from siltstone.session import forget, materialize
 from siltstone.sources import table
 
 CLASSES = ("0", "0.5", "1")
 K = len(CLASSES)
-ROUNDS, CUT = 40, 2
+ROUNDS, LOOK = 40, 2
 #: The rounds end when no cell of a confusion matrix moved by more than this share of its annotator's votes.
 SETTLED = 2e-5
 DIAGONAL, OFF, CLASS_PRIOR = 3.0, 0.6, 2.0
@@ -73,8 +74,15 @@ def _probabilities(scored: DataFrame) -> DataFrame:
 
 
 def _counts(votes: DataFrame, q: DataFrame) -> DataFrame:
-    """Expected votes n{k}{l} of each annotator: true class k, label l."""
+    """Expected votes n{k}{l} of each annotator: true class k, label l; and one row of the prior, its n{k}0 the expected
+    number of items of class k."""
     joined = votes.join(q, "row_id")
+    items = q.agg(*[F.coalesce(F.sum(f"q{k}"), F.lit(0.0)).alias(f"n{k}0") for k in range(K)]).withColumn("annotator", F.lit(PRIOR))
+    items = items.select("annotator", *[F.col(f"n{k}0") if m == 0 else F.lit(0.0).alias(f"n{k}{m}") for k in range(K) for m in range(K)])
+    return items.unionByName(_annotator_counts(joined))
+
+
+def _annotator_counts(joined: DataFrame) -> DataFrame:
     return joined.groupBy("annotator").agg(*[F.sum(F.when(F.col("label") == m, F.col(f"q{k}")).otherwise(0.0)).alias(f"n{k}{m}") for k in range(K) for m in range(K)])
 
 
@@ -108,24 +116,27 @@ def _largest_move(before: DataFrame, after: DataFrame) -> float:
 def fit(votes: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Posterior class probabilities per row (row_id, q0..) and expected confusion counts per annotator.
 
-    ``votes``: row_id, annotator, label (0..2). An empty table gives empty ones. Every few rounds the counts are written,
-    which cuts the lineage, and compared with those written before; one number of that reaches the driver.
+    ``votes``: row_id, annotator, label (0..2). An empty table gives empty ones. Every round's counts, a row per
+    annotator, are written, which cuts the lineage; every few rounds they are compared with the ones before, and one
+    number of that reaches the driver. Where ``rounds`` end before the counts have settled, a warning says so.
     """
-    everyone = votes.unionByName(votes.select("row_id").distinct().select("row_id", F.lit(PRIOR).alias("annotator"), F.lit(0).alias("label")))
-    everyone = materialize(everyone, "votes")
-    share = [F.sum(F.when((F.col("label") == k) & (F.col("annotator") != PRIOR), 1.0).otherwise(0.0)) + 0.2 for k in range(K)]
-    size = F.sum(F.when(F.col("annotator") != PRIOR, 1.0).otherwise(0.0)) + 0.2 * K
-    q = everyone.groupBy("row_id").agg(*[(share[k] / size).alias(f"q{k}") for k in range(K)])
-    counts = before = None
+    share = [F.sum(F.when(F.col("label") == k, 1.0).otherwise(0.0)) + 0.2 for k in range(K)]
+    size = F.count(F.lit(1)) + 0.2 * K
+    q = votes.groupBy("row_id").agg(*[(share[k] / size).alias(f"q{k}") for k in range(K)])
+    counts = None
     for i in range(rounds):
-        counts = _counts(everyone, q)
-        if i % CUT == CUT - 1 or i == rounds - 1:
-            counts = materialize(counts, "counts")
-            if before is not None and _largest_move(before, counts) < SETTLED:
-                break
-            before = counts
-        scored = everyone.join(_expected_logs(counts), ["annotator", "label"]).groupBy("row_id").agg(*[F.sum(f"t{k}").alias(f"s{k}") for k in range(K)])
+        before, counts = counts, materialize(_counts(votes, q), "counts")
+        if before is not None and i % LOOK == LOOK - 1 and _largest_move(before, counts) < SETTLED:
+            break
+        logs = _expected_logs(counts)
+        prior = logs.where((F.col("annotator") == PRIOR) & (F.col("label") == 0)).select(*[F.col(f"t{k}").alias(f"p{k}") for k in range(K)])
+        scored = votes.join(logs.where(F.col("annotator") != PRIOR), ["annotator", "label"]).groupBy("row_id").agg(*[F.sum(f"t{k}").alias(f"s{k}") for k in range(K)])
+        scored = scored.crossJoin(F.broadcast(prior)).select("row_id", *[(F.col(f"s{k}") + F.col(f"p{k}")).alias(f"s{k}") for k in range(K)])
         q = _probabilities(scored)
+        if before is not None:  # what q is made of now are the newer counts
+            forget(before)
+    else:
+        warnings.warn(f"the consensus had not settled after {rounds} rounds", stacklevel=2)
     return materialize(q, "posterior"), counts.where(F.col("annotator") != PRIOR)
 
 
