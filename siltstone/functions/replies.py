@@ -15,6 +15,8 @@ from siltstone.functions.text import STOP_WORDS, let
 
 # Word endings that are cut where four letters stay, longest first.
 ENDINGS = ("ations", "ation", "ings", "ing", "ies", "es", "ed", "s")
+# Parts of names in lower case.
+PARTICLES = ("van", "von", "de", "der", "da", "di", "del", "bin", "al", "le", "la")
 # Number words.
 NUMBER_WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
 # Marks read as others.
@@ -181,7 +183,7 @@ def name_list(text: Column) -> Column:
     """True for a list of one to fifteen person names: marks aside, every part two to five capitalised words (or particles)."""
     t = F.regexp_replace(F.regexp_replace(text, r"[0-9*†‡§]+", " "), r"\band\b|&", ",")
     parts = F.filter(F.transform(F.split(t, ","), lambda p: F.trim(p)), lambda p: p != "")
-    word = r"(?:[A-Z][\p{L}'.-]*|van|von|de|der|da|di|del|bin|al|le|la)"
+    word = rf"(?:[A-Z][\p{{L}}'.-]*|{'|'.join(PARTICLES)})"
     return F.coalesce((F.size(parts) >= 1) & (F.size(parts) <= 15) & F.forall(parts, lambda p: p.rlike(rf"^{word}(?:\s+{word}){{1,4}}$")), F.lit(False))
 
 
