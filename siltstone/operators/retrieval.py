@@ -50,9 +50,10 @@ def containing(pieces: DataFrame, piece: str, needle: str, texts: DataFrame, key
     return whole.where(F.col(text).contains(F.col(needle))).select(*scope, piece, key).distinct()
 
 
-def jaccard_pairs(left: DataFrame, key: str, a: str, right: DataFrame, other: str, b: str, least: tuple[int, int]) -> DataFrame:
+def jaccard_pairs(left: DataFrame, key: str, a: str, right: DataFrame, other: str, b: str, least: tuple[int, int], scope: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (key, other) with the ``jaccard`` similarity of their sets ``a`` and ``b``, all that reach the fraction
-    ``least``, which is over a half; empty sets pair with none.
+    ``least``, which is over a half; empty sets pair with none. With ``scope``, columns of both sides, only rows that are
+    equal in these meet. No side is broadcast, as all of them grow with the tables.
 
     Sets of n values overlap in t = ceil(least * n) at least, so in one order of all values, rare ones first, m <= t of
     the values they share stand among the first n - t + m of either set: the sets meet by threes of those, small ones
@@ -62,8 +63,10 @@ def jaccard_pairs(left: DataFrame, key: str, a: str, right: DataFrame, other: st
     part, whole = least
     if not whole < 2 * part <= 2 * whole:
         raise ValueError("least must be over 1/2 and 1 at most")
-    sides = [df.select(k, F.array_sort(F.array_distinct(v)).alias(v)).where(F.size(v) > 0).withColumn(f"_h{v}", F.xxhash64(v)) for df, k, v in ((left, key, a), (right, other, b))]
-    sets = [side.select(F.col(v).alias("_s"), F.col(f"_h{v}").alias("_h")).distinct() for side, v in zip(sides, (a, b))]
+    ways = ((left, key, a), (right, other, b))
+    within = F.xxhash64(*scope) if scope else F.lit(0).cast("long")
+    sides = [df.select(k, F.array_sort(F.array_distinct(v)).alias(v), within.alias(f"_w{v}")).where(F.size(v) > 0).withColumn(f"_h{v}", F.xxhash64(v, f"_w{v}")) for df, k, v in ways]
+    sets = [side.select(F.col(v).alias("_s"), F.col(f"_h{v}").alias("_h"), F.col(f"_w{v}").alias("_in")).distinct() for side, v in zip(sides, (a, b))]
     counts = sets[0].unionByName(sets[1]).select(F.explode("_s").alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
 
     def twos(head: Column) -> Column:
@@ -78,19 +81,20 @@ def jaccard_pairs(left: DataFrame, key: str, a: str, right: DataFrame, other: st
         return F.flatten(F.transform(F.sequence(F.lit(3), F.size(head)), ending))
 
     def offered(side: DataFrame, h: str) -> DataFrame:
-        values = side.select("_s", "_h", F.explode("_s").alias("_w")).join(counts, "_w")
-        ordered = values.groupBy("_s", "_h").agg(F.array_sort(F.collect_list(F.struct("_n", "_w"))).alias("_o"))
+        values = side.select("_s", "_h", "_in", F.explode("_s").alias("_w")).join(counts.hint("merge"), "_w")
+        ordered = values.groupBy("_s", "_h", "_in").agg(F.array_sort(F.collect_list(F.struct("_n", "_w"))).alias("_o"))
         size, none = F.size("_s"), F.array().cast("array<bigint>")
         shared = F.floor((part * size + whole - 1) / whole)
         first = lambda m: F.slice(F.col("_o._w"), 1, (size - shared + m).cast("int"))
         few = F.when(size == 1, F.transform("_s", lambda w: F.xxhash64(w, w))).when(size <= 2 * whole // part * whole // part, let(first(2), twos)).otherwise(none)
         many = F.when(shared >= 3, let(first(3), threes)).otherwise(none)
-        return ordered.select(F.col("_h").alias(h), size.alias(f"{h}n"), F.explode(F.concat(few, many)).alias("_k"))
+        met = ordered.select("_in", F.col("_h").alias(h), size.alias(f"{h}n"), F.explode(F.concat(few, many)).alias("_k"))
+        return met.withColumn("_k", F.xxhash64("_k", "_in")).drop("_in") if scope else met.drop("_in")
 
     x, y = offered(sets[0], f"_h{a}"), offered(sets[1], f"_h{b}")
     sizes = whole * F.least(f"_h{a}n", f"_h{b}n") >= part * F.greatest(f"_h{a}n", f"_h{b}n")
-    pairs = x.join(y, "_k").where(sizes).select(f"_h{a}", f"_h{b}").distinct()
-    found = pairs.join(sides[0], f"_h{a}").join(sides[1], f"_h{b}").withColumn("jaccard", F.round(jaccard(F.col(a), F.col(b)), 6))
+    pairs = x.join(y.hint("merge"), "_k").where(sizes).select(f"_h{a}", f"_h{b}").distinct()
+    found = pairs.hint("merge").join(sides[0].hint("merge"), f"_h{a}").join(sides[1].hint("merge"), f"_h{b}").where(F.col(f"_w{a}") == F.col(f"_w{b}")).withColumn("jaccard", F.round(jaccard(F.col(a), F.col(b)), 6))
     return found.where(F.col("jaccard") >= part / whole).select(key, other, "jaccard")
 
 
